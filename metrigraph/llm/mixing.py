@@ -78,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = thresholds(sized, part)
     goal = goal.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     goal = keep(goal.withColumnRenamed("source", "of"))
-    extra = F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+    extra = F.when((F.col("budget") > 0) & (F.col("cut").isNull() | (F.col("h") < F.col("cut"))), 1).otherwise(0)  # no cut: all fit
     return sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("id", "h", "source", "size", "source_size", "target", (F.col("epochs") + extra).alias("copies"))
 
 
