@@ -6,7 +6,7 @@ items; scores are BM25 divided by the item's score for itself, so 1 means "all i
 at or above the threshold are retrieved. A hit is verified by the share of word trigrams of the item's
 question and of its answer that the passage holds; both must pass.
 
-Terms that many items hold and whose greatest impacts together stay below half the threshold are no reason
+Terms that many items hold and whose greatest impacts together stay below most of the threshold are no reason
 to search. For the other terms numpy adds up the impacts by passage and item for a whole slice of texts;
 where that and the common terms' greatest impacts stay below the threshold for every item, the passage
 can't hold a hit. Only the rest are searched.
@@ -21,6 +21,7 @@ verified by its words; repeated items each match; repeated documents each match;
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -158,9 +159,7 @@ def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tup
         block_bound, until = 0.0, end
         for c in cursors[: pivot + 1]:  # shallow move: the block that would hold the pivot item
             d, _, last, peak = lists[c[2]]
-            b = c[1] // size
-            while b < len(last) and last[b] < item:
-                b += 1
+            b = bisect_left(last, item, c[1] // size)
             if b < len(last):
                 block_bound += peak[b]
                 until = min(until, last[b] + 1)
@@ -177,9 +176,7 @@ def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tup
             to = item
         for c in cursors[: pivot + 1]:
             d = lists[c[2]][0]
-            i = c[1]
-            while i < len(d) and d[i] < to:
-                i += 1
+            i = c[1] if d[c[1]] >= to else bisect_left(d, to, c[1])
             c[1], c[0] = i, d[i] if i < len(d) else end
         cursors = [c for c in cursors if c[0] < end]
     return found
@@ -242,7 +239,8 @@ def _search(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, f
     base = np.concatenate(([0], np.cumsum(np.maximum(n_half, 1))))
     late = base[text[known]] + half
     early = np.where(half > 0, late - 1, late)
-    keys = np.unique(np.concatenate((late, early)) * len(index.terms) + np.concatenate((term[known], term[known])))
+    keys = np.sort(np.concatenate((late, early)) * len(index.terms) + np.concatenate((term[known], term[known])))
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]]
     passage, t = keys // len(index.terms), keys % len(index.terms)
     bound = _bounds(index, passage, t)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
