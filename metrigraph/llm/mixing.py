@@ -23,6 +23,8 @@ from metrigraph.llm._graph import keep
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash bits, and bits by which each refinement splits a bucket.
 BITS, STEP = 60, 10
+#: Columns that apply() adds; columns of these names are replaced.
+MIXED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -65,11 +67,17 @@ def thresholds(docs: DataFrame, budget: DataFrame) -> DataFrame:
     return state.select("source", F.when(nearer, F.col("last") + 1).otherwise(F.col("first")).alias("cut"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(id, h, source, size, source_size, target, copies) of every row; h and id identify a row's content."""
-    h = hash60(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h")))
+def _hash(id_col: str, text_col: str) -> Column:
+    return hash60(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows (id, source, size, h), sources (of, source_size, target, epochs, budget, cut), and a row's copies."""
+    sized = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _hash(id_col, text_col).alias("h")))
     goal = keep(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     epochs = F.floor(ratio)
@@ -79,7 +87,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = goal.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     goal = keep(goal.withColumnRenamed("source", "of"))
     extra = F.when((F.col("budget") > 0) & (F.col("cut").isNull() | (F.col("h") < F.col("cut"))), 1).otherwise(0)  # no cut: all fit
-    return sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("id", "h", "source", "size", "source_size", "target", (F.col("epochs") + extra).alias("copies"))
+    return sized, goal, (F.col("epochs") + extra).cast("long").alias("copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(id, source, size, source_size, target, copies) of every row."""
+    sized, goal, copies = _plan(docs, id_col, text_col, source_col, weights, share, most)
+    return sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", "size", "source_size", "target", copies)
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs that the mixture takes, with all their columns and mix_size, mix_source_size, mix_target and mix_copies.
+
+    Each row compares its own hash with its source's threshold: texts are not moved but to meet the
+    table of sources, one row each.
+    """
+    _, goal, copies = _plan(docs, id_col, text_col, source_col, weights, share, most)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("_source"), _hash(id_col, text_col).alias("h"), _size(text_col).alias("size"))
+    joined = own.join(goal, F.col("_source").eqNullSafe(F.col("of")))
+    out = joined.where(copies > 0).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in MIXED], F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))
+    return out
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

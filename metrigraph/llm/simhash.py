@@ -20,6 +20,9 @@ an id count as one node. Extra columns are ignored by `fingerprints` and kept by
 
 from __future__ import annotations
 
+import hashlib
+import math
+import string
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -207,3 +210,154 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
 def op9(spark, sf_dir: str) -> DataFrame:
     out = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def _sets(df: DataFrame, id_col: str, text_col: str, shingle: int, wanted=None) -> DataFrame:
+    """(id, key, fp, n) of every row, or (key, shingles) of rows whose key's bit is set in the broadcast `wanted`.
+
+    key: md5 of the words, equal for texts that differ in case and white space only; n: distinct shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, fps, sizes, blobs = [], [], [], []
+            for text in batch["text"].cast(pa.large_binary()):
+                body = text.as_py() or b""
+                key = hashlib.md5(b" ".join(body.lower().split()), usedforsecurity=False).digest()
+                if wanted is not None:
+                    at = int.from_bytes(key[:8], "little") % (len(wanted.value) * 8)
+                    if not wanted.value[at >> 3] >> (at & 7) & 1:
+                        continue
+                h = shingle_hashes(body, shingle)
+                u = np.unique(h.astype(np.uint64))
+                keys.append(key)
+                if wanted is not None:
+                    blobs.append(u.tobytes())
+                else:
+                    fps.append(fingerprint(np.ascontiguousarray(u.astype(">u8"))))
+                    sizes.append(len(u))
+            if wanted is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], ["key", "shingles"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], ["id", "key", "fp", "n"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "key binary, shingles binary" if wanted is not None else "id long, key binary, fp long, n long")
+
+
+def _tasks(nodes: DataFrame, least: float) -> DataFrame:
+    """nodes (node, key, fp, n) dealt to tasks: size classes meet themselves and the next, in blocks of BLOCK rows."""
+    s = nodes.withColumn("s", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / least)).cast("int"))
+    sizes = s.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    after = sizes.select((F.col("s") - 1).alias("s"), F.col("chunks").alias("next"))
+    before = sizes.select((F.col("s") + 1).alias("s"), F.col("chunks").alias("last"))
+    sizes = sizes.join(after, "s", "left").join(before, "s", "left").na.fill(0, ["next", "last"])
+    seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # A task's number tells class, kind and both chunks; sides 0 and 1 meet, side 2 meets itself.
+    task = lambda side, of, kind, a, b: F.struct(F.lit(side).alias("side"), F.xxhash64(of, F.lit(kind), a, b).alias("task"))
+    i = F.col("mine")
+    same = F.transform(seq(F.col("chunks")), lambda j: F.when(j == i, task(2, F.col("s"), 0, i, i)).otherwise(F.when(i < j, task(0, F.col("s"), 0, i, j)).otherwise(task(1, F.col("s"), 0, j, i))))
+    forth = F.transform(seq(F.col("next")), lambda j: task(0, F.col("s"), 1, i, j))
+    back = F.transform(seq(F.col("last")), lambda j: task(1, F.col("s") - 1, 1, j, i))
+    s = s.join(F.broadcast(sizes), "s").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))  # one row a size class
+    return s.select("node", "key", "fp", "n", F.explode(F.concat(same, forth, back)).alias("t")).select("node", "key", "fp", "n", "t.side", "t.task")
+
+
+def _candidates(tasks: DataFrame, radius: int, least: float, thin: bool) -> DataFrame:
+    """(task, u, ku, v, kv): close pairs of every task; with `thin`, a task that has more pairs than
+    4 for each row gives a spanning forest of them and a row with null v, and has to come again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "task"):
+            task = table["task"].to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
+            node, fp, n, side = (table[c].to_numpy() for c in ("node", "fp", "n", "side"))
+            label = table["label"].to_numpy() if "label" in table.column_names else node
+            fp = fp.view(np.uint64)
+            key = table["key"].combine_chunks()
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                rows = np.arange(a, b)
+                left, right = (rows, rows) if side[a] == 2 else (rows[side[a:b] == 0], rows[side[a:b] == 1])
+                if not len(left) or not len(right):
+                    continue
+                q, r = close(fp[left], planes(fp[right]), len(right), radius)
+                q, r = left[q], right[r]
+                ok = (label[q] != label[r]) & (np.minimum(n[q], n[r]) >= least * np.maximum(n[q], n[r]))
+                if side[a] == 2:
+                    ok &= q < r
+                q, r = q[ok], r[ok]
+                dense = thin and len(q) > 4 * (b - a)
+                if dense:
+                    q, r = forest(q, r)
+                t = np.full(len(q) + dense, task[a])
+                none = [None] if dense else []
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array([*node[q].tolist(), *none], pa.int64()), pa.array([*key.take(pa.array(q)).to_pylist(), *none], pa.binary()), pa.array([*node[r].tolist(), *none], pa.int64()), pa.array([*key.take(pa.array(r)).to_pylist(), *none], pa.binary())], ["task", "u", "ku", "v", "kv"])
+
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "task long, u long, ku binary, v long, kv binary")
+
+
+def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have Jaccard similarity >= least."""
+    spark = df.sparkSession
+    bits = 1 << 24  # fixed: 2 MB are broadcast whatever the corpus; a false bit only computes a set too many
+    ends = pairs.select(F.col("ku").alias("key")).union(pairs.select("kv")).distinct()
+    place = F.conv(F.concat(*[F.substring(F.hex("key"), 2 * k + 1, 2) for k in (2, 1, 0)]), 16, 10).cast("long").bitwiseAND(bits - 1)
+    got = ends.select(place.alias("p")).groupBy(F.expr("shiftright(p, 3)").alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(p & 7 as int)))").alias("b"))
+    got = got.toArrow()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    bitmap[got["w"].to_numpy()] = got["b"].to_numpy()
+    sets = _sets(df, id_col, text_col, shingle, spark.sparkContext.broadcast(bitmap))
+    sets = keep(sets.join(ends, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
+    both = pairs.select("u", "ku", "v", "kv").distinct().join(sets.select(F.col("key").alias("ku"), F.col("shingles").alias("su")), "ku").join(sets.select(F.col("key").alias("kv"), F.col("shingles").alias("sv")), "kv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch["su"], batch["sv"], strict=True):
+                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(common >= least * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return keep(both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 13) -> DataFrame:
+    """(id, key, component) of every row: groups of texts with Jaccard similarity >= least of their word shingles.
+
+    Candidates are fingerprints within the radius; each is verified exactly. Dense tasks first give a
+    spanning forest; after the components of what was verified, only their pairs between different
+    components are looked at again, so a group of near copies never becomes all its pairs.
+    """
+    rows = keep(_sets(df, id_col, text_col, shingle))
+    nodes = keep(rows.groupBy("key").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))).alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    tasks = _tasks(nodes, least)
+    first = keep(_candidates(tasks, radius, least, thin=True))
+    links = _verified(first.where("v is not null"), df, id_col, text_col, shingle, least)
+    dense = first.where("v is null").select("task").distinct()
+    if dense.head(1):
+        label = components(links, "u", "v").withColumnRenamed("node", "of")
+        again = tasks.join(dense, "task", "left_semi").join(label, F.col("node") == F.col("of"), "left")
+        again = again.select("node", "key", "fp", "n", "side", "task", F.coalesce("component", "node").alias("label"))
+        second = keep(_candidates(again, radius, least, thin=False))
+        links = links.union(_verified(second, df, id_col, text_col, shingle, least))
+    found = components(links, "u", "v").withColumnRenamed("node", "of")
+    label = nodes.join(found, F.col("node") == F.col("of"), "left").select("key", F.coalesce("component", "node").alias("c"))
+    return rows.select("id", "key").join(label, "key").select("id", "key", F.col("c").alias("component"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 13) -> DataFrame:
+    """df with one row of each group: that of the smallest id. Of repeated rows one stays."""
+    groups_ = keep(near_duplicates(df, id_col, text_col, shingle, least, radius))
+    win = groups_.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("i"), "key")).alias("w"))
+    each = groups_.groupBy(F.coalesce("id", F.lit(NO_ID)).alias("_i"), F.col("key").alias("_k")).agg(F.count("*").alias("times"), F.min("component").alias("component"))
+    each = each.join(win, "component").select("_i", "_k", "times", ((F.col("_i") == F.col("w.i")) & (F.col("_k") == F.col("w.key"))).alias("stays"))
+    each = keep(each.where("not stays or times > 1"))
+    words_key = F.unhex(F.md5(F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+", " "))))
+    keyed = df.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_k", words_key)
+    out = keyed.join(each, ["_i", "_k"], "left_anti").select(*df.columns)
+    repeated = each.where("stays and times > 1")
+    if repeated.head(1):
+        out = out.union(keyed.join(repeated, ["_i", "_k"], "left_semi").dropDuplicates(["_i", "_k"]).select(*df.columns))
+    return out
