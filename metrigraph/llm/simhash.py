@@ -37,6 +37,8 @@ from metrigraph.llm._text import whole_groups
 
 #: Fingerprints in one block of planes; queries that go through a block together.
 BLOCK, TOGETHER = 8192, 64
+#: Shingles of all rows of a block in which near duplicates are verified.
+SET_ROWS = 4_000_000.0
 #: Rows of one pigeonhole key beyond which it is split by its remaining bits.
 HOT_KEY = 20_000
 #: Ids from here on stand for rows whose id is null.
@@ -246,9 +248,11 @@ def _sets(df: DataFrame, id_col: str, text_col: str, shingle: int, wanted=None)
 
 
 def _tasks(nodes: DataFrame, least: float) -> DataFrame:
-    """nodes (node, key, fp, n) dealt to tasks: size classes meet themselves and the next, in blocks of BLOCK rows."""
+    """nodes (node, key, fp, n) dealt to tasks: size classes meet themselves and the next, in blocks of bounded size."""
     s = nodes.withColumn("s", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / least)).cast("int"))
-    sizes = s.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    # A block holds at most BLOCK rows and about SET_ROWS shingles, but 64 rows at least.
+    block = F.greatest(F.lit(64.0), F.least(F.lit(float(BLOCK)), SET_ROWS / F.pow(F.lit(1 / least), F.col("s") + 1)))
+    sizes = s.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
     after = sizes.select((F.col("s") - 1).alias("s"), F.col("chunks").alias("next"))
     before = sizes.select((F.col("s") + 1).alias("s"), F.col("chunks").alias("last"))
     sizes = sizes.join(after, "s", "left").join(before, "s", "left").na.fill(0, ["next", "last"])
@@ -263,87 +267,103 @@ def _tasks(nodes: DataFrame, least: float) -> DataFrame:
     return s.select("node", "key", "fp", "n", F.explode(F.concat(same, forth, back)).alias("t")).select("node", "key", "fp", "n", "t.side", "t.task")
 
 
-def _candidates(tasks: DataFrame, radius: int, least: float, thin: bool) -> DataFrame:
-    """(task, u, ku, v, kv): close pairs of every task; with `thin`, a task that has more pairs than
-    4 for each row gives a spanning forest of them and a row with null v, and has to come again."""
+def _pairs(table: pa.Table, a: int, b: int, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of the task in rows a to b that are close and of fitting size."""
+    fp, n, side = table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["side"].to_numpy()
+    rows = np.arange(a, b)
+    own = side[a] == 2
+    left, right = (rows, rows) if own else (rows[side[a:b] == 0], rows[side[a:b] == 1])
+    if not len(left) or not len(right):
+        return rows[:0], rows[:0]
+    q, r = close(fp[left], planes(fp[right]), len(right), radius)
+    q, r = left[q], right[r]
+    ok = np.minimum(n[q], n[r]) >= least * np.maximum(n[q], n[r])
+    if own:
+        ok &= q < r
+    return q[ok], r[ok]
+
+
+def _each_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
+    for table in whole_groups(batches, "task"):
+        task = table["task"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True]))).tolist()
+        yield from ((table, a, b) for a, b in zip(cuts, cuts[1:]))  # noqa: B905
+
+
+def _by_task(df: DataFrame, run, schema: str) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, schema)
+
+
+def _candidates(tasks: DataFrame, radius: int, least: float) -> DataFrame:
+    """The rows of each task that have a candidate there: never pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "task"):
-            task = table["task"].to_numpy()
-            cuts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
-            node, fp, n, side = (table[c].to_numpy() for c in ("node", "fp", "n", "side"))
-            label = table["label"].to_numpy() if "label" in table.column_names else node
-            fp = fp.view(np.uint64)
-            key = table["key"].combine_chunks()
-            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-                rows = np.arange(a, b)
-                left, right = (rows, rows) if side[a] == 2 else (rows[side[a:b] == 0], rows[side[a:b] == 1])
-                if not len(left) or not len(right):
-                    continue
-                q, r = close(fp[left], planes(fp[right]), len(right), radius)
-                q, r = left[q], right[r]
-                ok = (label[q] != label[r]) & (np.minimum(n[q], n[r]) >= least * np.maximum(n[q], n[r]))
-                if side[a] == 2:
-                    ok &= q < r
-                q, r = q[ok], r[ok]
-                dense = thin and len(q) > 4 * (b - a)
-                if dense:
-                    q, r = forest(q, r)
-                t = np.full(len(q) + dense, task[a])
-                none = [None] if dense else []
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array([*node[q].tolist(), *none], pa.int64()), pa.array([*key.take(pa.array(q)).to_pylist(), *none], pa.binary()), pa.array([*node[r].tolist(), *none], pa.int64()), pa.array([*key.take(pa.array(r)).to_pylist(), *none], pa.binary())], ["task", "u", "ku", "v", "kv"])
-
-    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "task long, u long, ku binary, v long, kv binary")
-
-
-def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have Jaccard similarity >= least."""
-    spark = df.sparkSession
-    bits = 1 << 24  # fixed: 2 MB are broadcast whatever the corpus; a false bit only computes a set too many
-    ends = pairs.select(F.col("ku").alias("key")).union(pairs.select("kv")).distinct()
-    place = F.conv(F.concat(*[F.substring(F.hex("key"), 2 * k + 1, 2) for k in (2, 1, 0)]), 16, 10).cast("long").bitwiseAND(bits - 1)
-    got = ends.select(place.alias("p")).groupBy(F.expr("shiftright(p, 3)").alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(p & 7 as int)))").alias("b"))
-    got = got.toArrow()
-    bitmap = np.zeros(bits // 8, np.uint8)
-    bitmap[got["w"].to_numpy()] = got["b"].to_numpy()
-    sets = _sets(df, id_col, text_col, shingle, spark.sparkContext.broadcast(bitmap))
-    sets = keep(sets.join(ends, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
-    both = pairs.select("u", "ku", "v", "kv").distinct().join(sets.select(F.col("key").alias("ku"), F.col("shingles").alias("su")), "ku").join(sets.select(F.col("key").alias("kv"), F.col("shingles").alias("sv")), "kv")
+        for table, a, b in _each_task(batches):
+            some = np.unique(np.concatenate(_pairs(table, a, b, radius, least)))
+            if len(some):
+                yield from table.take(pa.array(some)).combine_chunks().to_batches()
+
+    return _by_task(tasks.select("node", "key", "fp", "n", "side", "task"), run, "node long, key binary, fp long, n long, side int, task long")
+
+
+def _verified(rows: DataFrame, radius: int, least: float) -> DataFrame:
+    """(u, v): links that join all rows of a task whose shingle sets have Jaccard similarity >= least.
+
+    Candidates that are joined already aren't compared again, so a task of m rows returns fewer than m links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch["su"], batch["sv"], strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(common >= least * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        for table, a, b in _each_task(batches):
+            q, r = _pairs(table, a, b, radius, least)
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"].slice(a, b - a)]
+            parent = list(range(b - a))
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            u, v = [], []
+            for x, y in zip((q - a).tolist(), (r - a).tolist(), strict=True):
+                i, j = find(x), find(y)
+                if i == j:
+                    continue
+                small, large = sorted((sets[x], sets[y]), key=len)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1) if len(large) else small
+                common = int((large[at] == small).sum()) if len(large) else 0
+                if common >= least * (len(small) + len(large) - common):
+                    parent[max(i, j)] = min(i, j)
+                    u.append(x + a)
+                    v.append(y + a)
+            if u:
+                node = table["node"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    return keep(both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long"))
+    return keep(_by_task(rows, run, "u long, v long"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 13) -> DataFrame:
     """(id, key, component) of every row: groups of texts with Jaccard similarity >= least of their word shingles.
 
-    Candidates are fingerprints within the radius; each is verified exactly. Dense tasks first give a
-    spanning forest; after the components of what was verified, only their pairs between different
-    components are looked at again, so a group of near copies never becomes all its pairs.
+    Candidates are fingerprints within the radius; each is verified exactly in the task where it was found,
+    to which only the shingle sets of rows with candidates travel. No pair is ever a row.
     """
     rows = keep(_sets(df, id_col, text_col, shingle))
     nodes = keep(rows.groupBy("key").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))).alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")))
-    tasks = _tasks(nodes, least)
-    first = keep(_candidates(tasks, radius, least, thin=True))
-    links = _verified(first.where("v is not null"), df, id_col, text_col, shingle, least)
-    dense = first.where("v is null").select("task").distinct()
-    if dense.head(1):
-        label = components(links, "u", "v").withColumnRenamed("node", "of")
-        again = tasks.join(dense, "task", "left_semi").join(label, F.col("node") == F.col("of"), "left")
-        again = again.select("node", "key", "fp", "n", "side", "task", F.coalesce("component", "node").alias("label"))
-        second = keep(_candidates(again, radius, least, thin=False))
-        links = links.union(_verified(second, df, id_col, text_col, shingle, least))
-    found = components(links, "u", "v").withColumnRenamed("node", "of")
-    label = nodes.join(found, F.col("node") == F.col("of"), "left").select("key", F.coalesce("component", "node").alias("c"))
+    found = keep(_candidates(_tasks(nodes, least), radius, least))
+    ends = found.select("key").distinct()
+    bits = 1 << 24  # fixed: 2 MB are broadcast whatever the corpus; a false bit only computes a set too many
+    place = F.conv(F.concat(*[F.substring(F.hex("key"), 2 * k + 1, 2) for k in (2, 1, 0)]), 16, 10).cast("long").bitwiseAND(bits - 1)
+    got = ends.select(place.alias("p")).groupBy(F.expr("shiftright(p, 3)").alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(p & 7 as int)))").alias("b")).toArrow()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    bitmap[got["w"].to_numpy()] = got["b"].to_numpy()
+    sets = _sets(df, id_col, text_col, shingle, df.sparkSession.sparkContext.broadcast(bitmap))
+    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
+    links = _verified(found.join(sets, "key"), radius, least)
+    reach = components(links, "u", "v").withColumnRenamed("node", "of")
+    label = nodes.join(reach, F.col("node") == F.col("of"), "left").select("key", F.coalesce("component", "node").alias("c"))
     return rows.select("id", "key").join(label, "key").select("id", "key", F.col("c").alias("component"))
 
 
