@@ -44,7 +44,7 @@ def normalize_identifier(c: Column) -> Column:
     """Trimmed, without outer quotes, brackets and backticks, lower case, no accents."""
     out = F.trim(strip_accents(c))
     for quote in ('"', "'", "`", "[", "]"):
-        out = F.trim(F.lit(quote), out)
+        out = F.trim(out, F.lit(quote))
     return F.lower(out)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrigraph.functions import scalars as S
@@ -46,8 +46,14 @@ def money(c: str):
     return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
 
 
-AS_OF = F.lit("2024-02-01").cast("date")
-LATE = F.lit("2001-09-01").cast("date")
+def as_of() -> Column:
+    """Past all events."""
+    return F.lit("2024-02-01").cast("date")
+
+
+def late() -> Column:
+    """Past all orders."""
+    return F.lit("2001-09-01").cast("date")
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +69,7 @@ PARITY = f"pool AS (SELECT greatest(runs, 0) AS v, row_number() OVER (ORDER BY g
 
 def _demand(spark: SparkSession, d: str) -> DataFrame:
     p = demand.quantile_parity(demand.within_percentile(reports(spark, d), "tool", "runs", "report"), "percentile", "runs", "report")
-    w = demand.usage_weight(F.col("parity_runs"), F.col("users"), F.col("last"), AS_OF)
+    w = demand.usage_weight(F.col("parity_runs"), F.col("users"), F.col("last"), as_of())
     return p.select("tool", "report", "runs", "users", _r("percentile").alias("percentile"), "parity_runs", _r(w).alias("weight"))
 
 
@@ -105,13 +111,13 @@ MONTHS = "coalesce(greatest(0, date_diff('day', last, DATE '2001-09-01') / 30.44
 @query(f"WITH {LAST} SELECT c_custkey, round({MONTHS}, 6) AS months, round(power(0.5, {MONTHS} / 6.0), 6) AS decay FROM l")
 def recency_decay(spark, d):
     c = _last_order(spark, d)
-    return c.select("c_custkey", _r(S.months_since(F.col("last"), LATE)).alias("months"), _r(S.recency_decay(F.col("last"), LATE)).alias("decay"))
+    return c.select("c_custkey", _r(S.months_since(F.col("last"), late())).alias("months"), _r(S.recency_decay(F.col("last"), late())).alias("decay"))
 
 
 @query(f"WITH {LAST}, b AS (SELECT c_custkey, ln(1 + coalesce(n, 0)) AS base, coalesce(urgent, 0) > 0 AS critical, power(0.5, {MONTHS} / 6.0) AS f FROM l) SELECT c_custkey, round(CASE WHEN critical THEN greatest(base * f, 0.6 * base) ELSE base * f END, 6) AS weight FROM b")
 def decision_critical_floor(spark, d):
     c = _last_order(spark, d).na.fill(0, ["n", "urgent"])
-    return c.select("c_custkey", _r(demand.usage_weight(F.col("n"), F.lit(1), F.col("last"), LATE, F.col("urgent") > 0)).alias("weight"))
+    return c.select("c_custkey", _r(demand.usage_weight(F.col("n"), F.lit(1), F.col("last"), late(), F.col("urgent") > 0)).alias("weight"))
 
 
 @query("WITH v AS (SELECT l_partkey, s_nationkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) SELECT l_partkey, s_nationkey AS winner, n AS votes FROM v QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, s_nationkey) = 1")
@@ -372,7 +378,7 @@ def dq_scorecard(spark, d):
 
 @query("SELECT (min(o_orderdate::DATE)) AS oldest, date_diff('day', min(o_orderdate::DATE), DATE '2001-09-01') AS age_days, date_diff('day', min(o_orderdate::DATE), max(o_orderdate::DATE)) AS spread_days, CASE WHEN date_diff('day', min(o_orderdate::DATE), DATE '2001-09-01') > 90 THEN 'fail' WHEN date_diff('day', min(o_orderdate::DATE), DATE '2001-09-01') > 30 THEN 'warn' ELSE 'pass' END AS verdict FROM orders")
 def freshness_gate(spark, d):
-    return quality.freshness(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day", LATE)
+    return quality.freshness(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day", late())
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
