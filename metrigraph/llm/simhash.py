@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -344,6 +345,18 @@ def _verified(rows: DataFrame, radius: int, least: float) -> DataFrame:
     return keep(_by_task(rows, run, "u long, v long"))
 
 
+#: Bits of a bitmap of places. Fixed: 2 MB are broadcast whatever the corpus.
+BITS = 1 << 24
+
+
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """Bytes whose bit p is set for every place p < BITS."""
+    got = places.groupBy(F.expr("shiftright(p, 3)").alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(p & 7 as int)))").alias("b")).toArrow()
+    bitmap = np.zeros(BITS // 8, np.uint8)
+    bitmap[got["w"].to_numpy()] = got["b"].to_numpy()
+    return bitmap
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 13) -> DataFrame:
     """(id, key, component) of every row: groups of texts with Jaccard similarity >= least of their word shingles.
 
@@ -354,11 +367,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = keep(rows.groupBy("key").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))).alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")))
     found = keep(_candidates(_tasks(nodes, least), radius, least))
     ends = found.select("key").distinct()
-    bits = 1 << 24  # fixed: 2 MB are broadcast whatever the corpus; a false bit only computes a set too many
-    place = F.conv(F.concat(*[F.substring(F.hex("key"), 2 * k + 1, 2) for k in (2, 1, 0)]), 16, 10).cast("long").bitwiseAND(bits - 1)
-    got = ends.select(place.alias("p")).groupBy(F.expr("shiftright(p, 3)").alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(p & 7 as int)))").alias("b")).toArrow()
-    bitmap = np.zeros(bits // 8, np.uint8)
-    bitmap[got["w"].to_numpy()] = got["b"].to_numpy()
+    place = F.conv(F.concat(*[F.substring(F.hex("key"), 2 * k + 1, 2) for k in (2, 1, 0)]), 16, 10).cast("long").bitwiseAND(BITS - 1)
+    bitmap = _bitmap(ends.select(place.alias("p")))  # a false bit only computes a set too many
     sets = _sets(df, id_col, text_col, shingle, df.sparkSession.sparkContext.broadcast(bitmap))
     sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
     links = _verified(found.join(sets, "key"), radius, least)
@@ -375,8 +385,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     each = each.join(win, "component").select("_i", "_k", "times", ((F.col("_i") == F.col("w.i")) & (F.col("_k") == F.col("w.key"))).alias("stays"))
     each = keep(each.where("not stays or times > 1"))
     words_key = F.unhex(F.md5(F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+", " "))))
-    keyed = df.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_k", words_key)
-    out = keyed.join(each, ["_i", "_k"], "left_anti").select(*df.columns)
+    place = F.pmod(F.xxhash64("_i"), F.lit(BITS))
+    seen = df.sparkSession.sparkContext.broadcast(_bitmap(each.select(place.alias("p"))))
+
+    @F.pandas_udf("boolean")
+    def may_go(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((seen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    rows = df.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_go", may_go(place))
+    keyed = rows.where("_go").withColumn("_k", words_key)  # only rows that may go are dealt out; the join decides
+    out = rows.where("not _go").select(*df.columns).union(keyed.join(each, ["_i", "_k"], "left_anti").select(*df.columns))
     repeated = each.where("stays and times > 1")
     if repeated.head(1):
         out = out.union(keyed.join(repeated, ["_i", "_k"], "left_semi").dropDuplicates(["_i", "_k"]).select(*df.columns))
