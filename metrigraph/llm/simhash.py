@@ -6,16 +6,17 @@ carry-save adder into bitwise counters, and the query leaves a block as soon as
 the radius. Counters start at 2**k-1-radius, so that a carry out of the top bit means "over".
 
 Which blocks meet:
-* radius <= 3 (`link_close`): pigeonhole. 64 bits in radius+2 parts; two fingerprints within the radius
+* `link_close`, radius <= 3: pigeonhole. 64 bits in radius+2 parts; two fingerprints within the radius
   agree on at least two parts, so each pair of parts is a table of exact keys. Keys with very many
   fingerprints are split again by the pigeonhole over the remaining bits. Nothing is dropped.
-* larger radius (`near_duplicates`): a similarity of s bounds the ratio of shingle-set sizes by s, so only
-  neighbouring size classes meet, in blocks of bounded size; exact Jaccard similarity decides.
+
+`near_duplicates` compares no fingerprints: texts that share a shingle of their prefixes (loss-free for the
+least similarity) form clusters; within one, exact Jaccard similarity decides, in blocks of bounded size.
 
 Defined results: null text is empty text; a text with fewer words than a shingle is one shingle; a text
 without words has fingerprint zero and links like any other. Repeated rows share a fingerprint and
 so a component. A null id never names a component while its component has another id. Rows that share
-an id count as one node. Extra columns are ignored by `fingerprints` and kept by `keep_one`.
+an id count as one node of `groups`, not of `near_duplicates`. Extra columns are ignored by `fingerprints` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ from metrigraph.llm._text import whole_groups
 #: Fingerprints in one block of planes; queries that go through a block together.
 BLOCK, TOGETHER = 8192, 64
 #: Shingles of all rows of a block in which near duplicates are verified.
-SET_ROWS = 4_000_000.0
+SET_ROWS = 1_500_000.0
+#: Bytes of text that the order of shingles is learnt from, and bytes of text a bucket of prefixes.
+SAMPLE_BYTES, BUCKET_BYTES = 32 << 20, 16 << 20
 #: Rows of one pigeonhole key beyond which it is split by its remaining bits.
 HOT_KEY = 20_000
 #: Ids from here on stand for rows whose id is null.
@@ -215,134 +218,238 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, shingle: int, wanted=None) -> DataFrame:
-    """(id, key, fp, n) of every row, or (key, shingles) of rows whose key's bit is set in the broadcast `wanted`.
+def _key(text: bytes) -> bytes:
+    """md5 of the words, equal for texts that differ in case and white space only."""
+    return hashlib.md5(b" ".join(text.lower().split()), usedforsecurity=False).digest()
+
+
+def _node(key: bytes) -> int:
+    """A text's node: 63 bits of its key, whatever the ids of its rows."""
+    return int.from_bytes(key[:8], "big") >> 1
+
+
+def _rows(df: DataFrame, shingle: int) -> DataFrame:
+    """(id, key, node, n) of every row of df (id, text); n: distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for text in batch["text"].cast(pa.large_binary()):
+                body = text.as_py() or b""
+                keys.append(_key(body))
+                sizes.append(len(np.unique(shingle_hashes(body, shingle))))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array([_node(k) for k in keys], pa.int64()), pa.array(sizes, pa.int64())], ["id", "key", "node", "n"])
+
+    return df.mapInArrow(run, "id long, key binary, node long, n long")
+
+
+def _sets(df: DataFrame, shingle: int, wanted) -> DataFrame:
+    """(node, shingles) of the rows of df (id, text) whose node's bit is set in the broadcast `wanted`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, blobs = [], []
+            for text in batch["text"].cast(pa.large_binary()):
+                body = text.as_py() or b""
+                node = _node(_key(body))
+                at = node & (BITS - 1)
+                if wanted.value[at >> 3] >> (at & 7) & 1:
+                    nodes.append(node)
+                    blobs.append(np.unique(shingle_hashes(body, shingle).astype(np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "shingles"])
+
+    return df.mapInArrow(run, "node long, shingles binary")
+
+
+def prefix_length(n, least: float):
+    """Shingles of a set of n, in any common order, one of which is among those of every set of similarity >= least."""
+    return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
 
-    key: md5 of the words, equal for texts that differ in case and white space only; n: distinct shingles.
+
+def _common(df: DataFrame, size: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in order, that several texts of a sample hold, and how many do.
+
+    They only put common shingles last in the order of shingles. Any order finds every pair, so the sample decides
+    how much is compared and nothing else.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps, sizes, blobs = [], [], [], []
+            blobs = [np.unique(shingle_hashes(t.as_py() or b"", shingle).astype(np.uint64)).tobytes() for t in batch["text"].cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(blobs)], pa.binary())], ["h"])
+
+    part = df if size <= SAMPLE_BYTES else df.sample(SAMPLE_BYTES / size, 7)
+    got = part.mapInArrow(run, "h binary").toArrow()["h"]
+    h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), np.uint64) for x in got]]), return_counts=True)
+    return h[n > 1], n[n > 1]
+
+
+def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The prefix of a set of sorted shingles: rare ones first."""
+    if not len(shingles):
+        return shingles
+    most, (h, n) = int(prefix_length(np.int64(len(shingles)), least)), common
+    if len(h):
+        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+        shingles = shingles[np.argsort(np.where(h[at] == shingles, n[at], 0), kind="stable")]
+    return shingles[:most]
+
+
+def _linked(df: DataFrame, size: int, shingle: int, least: float) -> DataFrame:
+    """(u, v): links that join all nodes of df (id, text) that share a shingle of their prefixes.
+
+    Workers send, per bucket of shingles, packed arrays of a shingle and its smallest node; links within what a worker
+    holds are made there, so a shingle of very many texts is sent once a batch of entries.
+    """
+    buckets = 16
+    while buckets * BUCKET_BYTES < size:
+        buckets *= 2
+    common = df.sparkSession.sparkContext.broadcast(_common(df, size, shingle))
+    names = ["bucket", "a", "b"]
+
+    def least_node(t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(t, kind="stable")
+        t, v = t[order], v[order]
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        low = np.minimum.reduceat(v, first)
+        each = np.repeat(low, np.diff(np.concatenate((first, [len(t)]))))
+        return t[first], low, *forest(v[v != each], each[v != each])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, owners, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t, low, u, v = least_node(np.concatenate(tokens), np.concatenate(owners))
+            of = (t % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            cut = np.searchsorted(of[order], np.arange(buckets + 1))
+            out = [(b, t[order[cut[b] : cut[b + 1]]].tobytes(), low[order[cut[b] : cut[b + 1]]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
+            if len(u):  # a bucket of their own for links, spread by their number
+                out.append((buckets + int(u[0]) % buckets, u.tobytes(), v.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names)
+
+        for batch in batches:
             for text in batch["text"].cast(pa.large_binary()):
                 body = text.as_py() or b""
-                key = hashlib.md5(b" ".join(body.lower().split()), usedforsecurity=False).digest()
-                if wanted is not None:
-                    at = int.from_bytes(key[:8], "little") % (len(wanted.value) * 8)
-                    if not wanted.value[at >> 3] >> (at & 7) & 1:
-                        continue
-                h = shingle_hashes(body, shingle)
-                u = np.unique(h.astype(np.uint64))
-                keys.append(key)
-                if wanted is not None:
-                    blobs.append(u.tobytes())
-                else:
-                    fps.append(fingerprint(np.ascontiguousarray(u.astype(">u8"))))
-                    sizes.append(len(u))
-            if wanted is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], ["key", "shingles"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], ["id", "key", "fp", "n"])
+                t = _prefix(np.unique(shingle_hashes(body, shingle).astype(np.uint64)), common.value, least)
+                tokens.append(t)
+                owners.append(np.full(len(t), _node(_key(body))))
+                held += len(t)
+                if held > 1_000_000:
+                    yield from flush()
+                    tokens, owners, held = [], [], 0
+        if held:
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "bucket"):
+            of = table["bucket"].to_numpy()
+            for b in np.unique(of):
+                part = table.filter(pa.array(of == b))
+                x, y = (np.concatenate([np.frombuffer(z.as_py(), k) for z in part[c]]) for c, k in (("a", np.uint64), ("b", np.int64)))
+                u, v = least_node(x, y)[2:] if b < buckets else forest(x.astype(np.int64), y)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    sent = df.mapInArrow(gather, "bucket long, a binary, b binary")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long")
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "key binary, shingles binary" if wanted is not None else "id long, key binary, fp long, n long")
 
+def _tasks(members: DataFrame, least: float) -> DataFrame:
+    """members (node, n, cluster) dealt to tasks (node, side, task).
 
-def _tasks(nodes: DataFrame, least: float) -> DataFrame:
-    """nodes (node, key, fp, n) dealt to tasks: size classes meet themselves and the next, in blocks of bounded size."""
-    s = nodes.withColumn("s", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / least)).cast("int"))
+    A cluster is one task if it fits a block. In larger ones size classes meet themselves and the next, in blocks of
+    bounded size.
+    """
+    s = members.withColumn("s", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / least)).cast("int"))
     # A block holds at most BLOCK rows and about SET_ROWS shingles, but 64 rows at least.
     block = F.greatest(F.lit(64.0), F.least(F.lit(float(BLOCK)), SET_ROWS / F.pow(F.lit(1 / least), F.col("s") + 1)))
-    sizes = s.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-    after = sizes.select((F.col("s") - 1).alias("s"), F.col("chunks").alias("next"))
-    before = sizes.select((F.col("s") + 1).alias("s"), F.col("chunks").alias("last"))
-    sizes = sizes.join(after, "s", "left").join(before, "s", "left").na.fill(0, ["next", "last"])
+    sizes = keep(s.groupBy("cluster", "s").agg(F.count("*").alias("rows"), F.sum("n").alias("all")))
+    large = sizes.groupBy("cluster").agg(F.sum("rows").alias("r"), F.sum("all").alias("a")).where((F.col("r") > BLOCK) | (F.col("a") > SET_ROWS)).select("cluster")
+    sizes = keep(sizes.join(large, "cluster").select("cluster", "s", F.ceil(F.col("rows") / block).cast("int").alias("chunks")))
+    after = sizes.select("cluster", (F.col("s") - 1).alias("s"), F.col("chunks").alias("next"))
+    before = sizes.select("cluster", (F.col("s") + 1).alias("s"), F.col("chunks").alias("last"))
+    sizes = sizes.join(after, ["cluster", "s"], "left").join(before, ["cluster", "s"], "left").na.fill(0, ["next", "last"])
     seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    # A task's number tells class, kind and both chunks; sides 0 and 1 meet, side 2 meets itself.
-    task = lambda side, of, kind, a, b: F.struct(F.lit(side).alias("side"), F.xxhash64(of, F.lit(kind), a, b).alias("task"))
+    # A task's number tells cluster, class, kind and both chunks; sides 0 and 1 meet, side 2 meets itself.
+    task = lambda side, of, kind, a, b: F.struct(F.lit(side).alias("side"), F.xxhash64("cluster", of, F.lit(kind), a, b).alias("task"))
     i = F.col("mine")
     same = F.transform(seq(F.col("chunks")), lambda j: F.when(j == i, task(2, F.col("s"), 0, i, i)).otherwise(F.when(i < j, task(0, F.col("s"), 0, i, j)).otherwise(task(1, F.col("s"), 0, j, i))))
     forth = F.transform(seq(F.col("next")), lambda j: task(0, F.col("s"), 1, i, j))
     back = F.transform(seq(F.col("last")), lambda j: task(1, F.col("s") - 1, 1, j, i))
-    s = s.join(F.broadcast(sizes), "s").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))  # one row a size class
-    return s.select("node", "key", "fp", "n", F.explode(F.concat(same, forth, back)).alias("t")).select("node", "key", "fp", "n", "t.side", "t.task")
-
-
-def _pairs(table: pa.Table, a: int, b: int, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of the task in rows a to b that are close and of fitting size."""
-    fp, n, side = table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["side"].to_numpy()
-    rows = np.arange(a, b)
-    own = side[a] == 2
-    left, right = (rows, rows) if own else (rows[side[a:b] == 0], rows[side[a:b] == 1])
-    if not len(left) or not len(right):
-        return rows[:0], rows[:0]
-    q, r = close(fp[left], planes(fp[right]), len(right), radius)
-    q, r = left[q], right[r]
-    ok = np.minimum(n[q], n[r]) >= least * np.maximum(n[q], n[r])
-    if own:
-        ok &= q < r
-    return q[ok], r[ok]
-
-
-def _each_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
-    for table in whole_groups(batches, "task"):
-        task = table["task"].to_numpy()
-        cuts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True]))).tolist()
-        yield from ((table, a, b) for a, b in zip(cuts, cuts[1:]))  # noqa: B905
-
-
-def _by_task(df: DataFrame, run, schema: str) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, schema)
-
+    whole = F.array(F.struct(F.lit(2).alias("side"), F.xxhash64("cluster").alias("task")))
+    s = s.join(F.broadcast(sizes), ["cluster", "s"], "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))  # a few rows a cluster beyond a block
+    return s.select("node", F.explode(F.when(F.col("chunks").isNull(), whole).otherwise(F.concat(same, forth, back))).alias("t")).select("node", "t.side", "t.task")
 
-def _candidates(tasks: DataFrame, radius: int, least: float) -> DataFrame:
-    """The rows of each task that have a candidate there: never pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, a, b in _each_task(batches):
-            some = np.unique(np.concatenate(_pairs(table, a, b, radius, least)))
-            if len(some):
-                yield from table.take(pa.array(some)).combine_chunks().to_batches()
-
-    return _by_task(tasks.select("node", "key", "fp", "n", "side", "task"), run, "node long, key binary, fp long, n long, side int, task long")
 
+def similar(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links that join all of the sets with Jaccard similarity >= least: of sides 0 and 1, or of side 2 with itself.
 
-def _verified(rows: DataFrame, radius: int, least: float) -> DataFrame:
-    """(u, v): links that join all rows of a task whose shingle sets have Jaccard similarity >= least.
-
-    Candidates that are joined already aren't compared again, so a task of m rows returns fewer than m links.
+    Sets that are joined already aren't compared again, so m sets give fewer than m links.
     """
+    m, n = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(m), n)
+    if m < 2 or not len(owner):
+        return []
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(at, kind="stable")]
+    start = np.concatenate(([0], np.cumsum(times)))
+    first = np.concatenate(([0], np.cumsum(n)))
+    order = np.lexsort((at, times[at], owner))  # rare shingles first
+    label, links = np.arange(m), []
+    prefix = prefix_length(n, least)
+    inside = np.zeros(len(owner), bool)
+    for x in np.flatnonzero(n).tolist():
+        inside[order[first[x] : first[x] + prefix[x]]] = True
+    # Holders of each shingle in whose prefix it is.
+    by = np.argsort(at, kind="stable")
+    short, many = owner[by[inside[by]]], np.bincount(at[inside], minlength=len(times))
+    short_start = np.concatenate(([0], np.cumsum(many)))
+
+    def holding(shingles: np.ndarray, of: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        size = begin[shingles + 1] - begin[shingles]
+        return of[np.repeat(begin[shingles] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+
+    for x in np.flatnonzero(n).tolist():
+        mine = at[first[x] : first[x + 1]]
+        seen = np.zeros(m, bool)
+        seen[holding(at[order[first[x] : first[x] + prefix[x]]], short, short_start)] = True
+        seen[:x + 1] = False
+        seen &= label != label[x]
+        if side[x] != 2:
+            seen &= side != side[x]
+        seen &= np.minimum(n, n[x]) >= least * np.maximum(n, n[x])
+        some = np.flatnonzero(seen)
+        if not len(some):
+            continue
+        if len(some) < 8:
+            both = np.array([np.isin(sets[y], sets[x], assume_unique=True).sum() for y in some])
+        else:
+            both = np.bincount(holding(mine, holders, start), minlength=m)[some]
+        for y in some[both >= least * (n[some] + n[x] - both)].tolist():
+            if label[y] != label[x]:
+                links.append((x, y))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def _verified(rows: DataFrame, least: float) -> DataFrame:
+    """(u, v): links that join all rows (node, side, task, shingles) of a task whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, a, b in _each_task(batches):
-            q, r = _pairs(table, a, b, radius, least)
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"].slice(a, b - a)]
-            parent = list(range(b - a))
-
-            def find(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            u, v = [], []
-            for x, y in zip((q - a).tolist(), (r - a).tolist(), strict=True):
-                i, j = find(x), find(y)
-                if i == j:
-                    continue
-                small, large = sorted((sets[x], sets[y]), key=len)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1) if len(large) else small
-                common = int((large[at] == small).sum()) if len(large) else 0
-                if common >= least * (len(small) + len(large) - common):
-                    parent[max(i, j)] = min(i, j)
-                    u.append(x + a)
-                    v.append(y + a)
-            if u:
-                node = table["node"].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
-
-    return keep(_by_task(rows, run, "u long, v long"))
+        for table in whole_groups(batches, "task"):
+            task, node, side = (table[c].to_numpy() for c in ("task", "node", "side"))
+            cuts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True]))).tolist()
+            links = []
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"].slice(a, b - a)]
+                links += [(x + a, y + a) for x, y in similar(sets, side[a:b], least)]
+            if links:
+                u, v = (node[list(e)] for e in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep(rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "u long, v long"))
 
 
 #: Bits of a bitmap of places. Fixed: 2 MB are broadcast whatever the corpus.
@@ -357,29 +464,29 @@ def _bitmap(places: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 13) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, key, component) of every row: groups of texts with Jaccard similarity >= least of their word shingles.
 
-    Candidates are fingerprints within the radius; each is verified exactly in the task where it was found,
-    to which only the shingle sets of rows with candidates travel. No pair is ever a row.
+    Every pair of similar texts shares a shingle of both prefixes, so it lies in one cluster of texts that such
+    shingles join. Sets travel to the tasks of their cluster, where similarity is exact. No pair is ever a row.
+    A component is named by a node of it.
     """
-    rows = keep(_sets(df, id_col, text_col, shingle))
-    nodes = keep(rows.groupBy("key").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))).alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")))
-    found = keep(_candidates(_tasks(nodes, least), radius, least))
-    ends = found.select("key").distinct()
-    place = F.conv(F.concat(*[F.substring(F.hex("key"), 2 * k + 1, 2) for k in (2, 1, 0)]), 16, 10).cast("long").bitwiseAND(BITS - 1)
-    bitmap = _bitmap(ends.select(place.alias("p")))  # a false bit only computes a set too many
-    sets = _sets(df, id_col, text_col, shingle, df.sparkSession.sparkContext.broadcast(bitmap))
-    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    links = _verified(found.join(sets, "key"), radius, least)
-    reach = components(links, "u", "v").withColumnRenamed("node", "of")
-    label = nodes.join(reach, F.col("node") == F.col("of"), "left").select("key", F.coalesce("component", "node").alias("c"))
-    return rows.select("id", "key").join(label, "key").select("id", "key", F.col("c").alias("component"))
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 13) -> DataFrame:
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = keep(_rows(texts, shingle))
+    clusters = components(_linked(texts, size, shingle, least), "u", "v").select("node", F.col("component").alias("cluster"))
+    members = keep(rows.select("node", "n").distinct().join(clusters, "node"))
+    bitmap = _bitmap(members.select(F.col("node").bitwiseAND(BITS - 1).alias("p")))  # a false bit only computes a set too many
+    sets = _sets(texts, shingle, df.sparkSession.sparkContext.broadcast(bitmap))
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    links = _verified(_tasks(members, least).join(sets, "node"), least)
+    reach = components(links, "u", "v")
+    return rows.join(reach, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """df with one row of each group: that of the smallest id. Of repeated rows one stays."""
-    groups_ = keep(near_duplicates(df, id_col, text_col, shingle, least, radius))
+    groups_ = keep(near_duplicates(df, id_col, text_col, shingle, least))
     win = groups_.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("i"), "key")).alias("w"))
     each = groups_.groupBy(F.coalesce("id", F.lit(NO_ID)).alias("_i"), F.col("key").alias("_k")).agg(F.count("*").alias("times"), F.min("component").alias("component"))
     each = each.join(win, "component").select("_i", "_k", "times", ((F.col("_i") == F.col("w.i")) & (F.col("_k") == F.col("w.key"))).alias("stays"))

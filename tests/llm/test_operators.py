@@ -269,6 +269,51 @@ def test_keep_one(spark, sf, rows):
     assert {20, 21, 22, 40, 41} <= {i for i, _ in out}
 
 
+def test_near_duplicates_are_complete(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in (20, 60, 200, 600):
+        for _ in range(40):
+            base = [rng.choice(VOCAB) for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(3):  # about as many words changed as a similarity of 0.8 allows
+                other = list(base)
+                for at in rng.sample(range(n), max(1, round(n / 45 * rng.uniform(0.8, 1.1)))):
+                    other[at] = "changed" + rng.choice(VOCAB)
+                texts.append(" ".join(other))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words, texts)]
+    label = list(range(len(texts)))
+    for i, x in enumerate(grams):
+        for j in range(i // 4 * 4, i):  # words of different bases don't meet
+            if len(x & grams[j]) >= 0.8 * len(x | grams[j]):
+                label = [label[j] if k == label[i] else k for k in label]
+    want = {frozenset(i for i, k in enumerate(label) if k == one) for one in label}
+    found = {}
+    for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found.setdefault(r["component"], set()).add(r["id"])
+    assert {frozenset(x) for x in found.values()} == want
+
+
+def test_similar_sets_of_any_sides():
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 2000, 60).astype(np.uint64)
+        sets += [np.unique(np.concatenate((base[rng.random(60) > 0.07], rng.integers(0, 2000, 3).astype(np.uint64)))) for _ in range(4)]
+    sets += [np.zeros(0, np.uint64)] * 2
+    for side in (np.full(len(sets), 2), rng.integers(0, 2, len(sets))):
+        label, got = list(range(len(sets))), list(range(len(sets)))
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                common = len(np.intersect1d(x, y))
+                if len(x) and (side[i] == 2 or side[i] != side[j]) and common >= 0.8 * (len(x) + len(y) - common):
+                    label = [label[j] if k == label[i] else k for k in label]
+        for x, y in simhash.similar(sets, side, 0.8):
+            got = [got[x] if k == got[y] else k for k in got]
+        groups = lambda of: {frozenset(i for i, k in enumerate(of) if k == one) for one in of}
+        assert groups(got) == groups(label) and len(groups(label)) < len(sets)
+
+
 def test_chat(got):
     out = {r["conv_id"]: r for r in got("op10_chat")}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
