@@ -42,7 +42,9 @@ BLOCK, TOGETHER = 8192, 64
 #: Shingles of all rows of a block in which near duplicates are verified.
 SET_ROWS = 1_500_000.0
 #: Bytes of text that the order of shingles is learnt from, and bytes of text a bucket of prefixes.
-SAMPLE_BYTES, BUCKET_BYTES = 32 << 20, 16 << 20
+SAMPLE_BYTES, BUCKET_BYTES = 24 << 20, 16 << 20
+#: Bits of a sketch at most.
+SKETCH_BITS = 1 << 15
 #: Rows of one pigeonhole key beyond which it is split by its remaining bits.
 HOT_KEY = 20_000
 #: Ids from here on stand for rows whose id is null.
@@ -228,19 +230,30 @@ def _node(key: bytes) -> int:
     return int.from_bytes(key[:8], "big") >> 1
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles fall to each of B bits, as words: sets that differ in d shingles differ in at most d bits."""
+    bits = 64
+    while bits * 4 < 3 * len(shingles) and bits < SKETCH_BITS:
+        bits *= 2
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _rows(df: DataFrame, shingle: int) -> DataFrame:
-    """(id, key, node, n) of every row of df (id, text); n: distinct shingles."""
+    """(id, key, node, n, sketch) of every row of df (id, text); n: distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, bits = [], [], []
             for text in batch["text"].cast(pa.large_binary()):
                 body = text.as_py() or b""
+                u = np.unique(shingle_hashes(body, shingle).astype(np.uint64))
                 keys.append(_key(body))
-                sizes.append(len(np.unique(shingle_hashes(body, shingle))))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array([_node(k) for k in keys], pa.int64()), pa.array(sizes, pa.int64())], ["id", "key", "node", "n"])
+                sizes.append(len(u))
+                bits.append(sketch(u).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array([_node(k) for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["id", "key", "node", "n", "sketch"])
 
-    return df.mapInArrow(run, "id long, key binary, node long, n long")
+    return df.mapInArrow(run, "id long, key binary, node long, n long, sketch binary")
 
 
 def _sets(df: DataFrame, shingle: int, wanted) -> DataFrame:
@@ -356,7 +369,7 @@ def _linked(df: DataFrame, size: int, shingle: int, least: float) -> DataFrame:
 
 
 def _tasks(members: DataFrame, least: float) -> DataFrame:
-    """members (node, n, cluster) dealt to tasks (node, side, task).
+    """members (node, n, sketch, cluster) dealt to tasks (node, n, sketch, side, task).
 
     A cluster is one task if it fits a block. In larger ones size classes meet themselves and the next, in blocks of
     bounded size.
@@ -379,7 +392,47 @@ def _tasks(members: DataFrame, least: float) -> DataFrame:
     back = F.transform(seq(F.col("last")), lambda j: task(1, F.col("s") - 1, 1, j, i))
     whole = F.array(F.struct(F.lit(2).alias("side"), F.xxhash64("cluster").alias("task")))
     s = s.join(F.broadcast(sizes), ["cluster", "s"], "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))  # a few rows a cluster beyond a block
-    return s.select("node", F.explode(F.when(F.col("chunks").isNull(), whole).otherwise(F.concat(same, forth, back))).alias("t")).select("node", "t.side", "t.task")
+    return s.select("node", "n", "sketch", F.explode(F.when(F.col("chunks").isNull(), whole).otherwise(F.concat(same, forth, back))).alias("t")).select("node", "n", "sketch", "t.side", "t.task")
+
+
+def fitting(sketches: list[bytes], n: np.ndarray, side: np.ndarray, least: float) -> np.ndarray:
+    """Which sets may have one of Jaccard similarity >= least: their sketches differ in no more bits than that allows."""
+    some, width = np.zeros(len(n), bool), np.array([len(x) // 8 for x in sketches])
+    alike = (1 - least) / (1 + least)
+    rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    words = {w: np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(-1, w) for w, at in rows.items()}
+    for w, left in rows.items():
+        for x, right in rows.items():
+            if x < w:
+                continue
+            # A wider sketch folds to a narrower one.
+            other = np.bitwise_xor.reduce(words[x].reshape(len(right), x // w, w), axis=1)
+            step = max(1, (1 << 20) // (len(right) * w))
+            for a in range(0, len(left), step):
+                mine = left[a : a + step]
+                differ = np.bitwise_count(words[w][a : a + step, None, :] ^ other[None]).sum(axis=2, dtype=np.int32)
+                ok = differ <= alike * (n[mine][:, None] + n[right][None, :]) + 1e-6
+                ok &= mine[:, None] != right[None, :]
+                q, r = np.nonzero(ok)
+                q, r = mine[q], right[r]
+                fit = (np.minimum(n[q], n[r]) >= least * np.maximum(n[q], n[r])) & ((side[q] == 2) | (side[q] != side[r]))
+                some[q[fit]] = some[r[fit]] = True
+    return some
+
+
+def _candidates(tasks: DataFrame, least: float) -> DataFrame:
+    """(node, side, task) of the rows of each task that have a candidate there: never pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "task"):
+            task, n, side = (table[c].to_numpy() for c in ("task", "n", "side"))
+            bits = table["sketch"].to_pylist()
+            cuts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True]))).tolist()
+            found = [np.flatnonzero(fitting(bits[a:b], n[a:b], side[a:b], least)) + a for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+            yield from table.select(["node", "side", "task"]).take(pa.array(np.concatenate(found))).combine_chunks().to_batches()
+
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep(tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "node long, side int, task long"))
 
 
 def similar(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -468,18 +521,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, key, component) of every row: groups of texts with Jaccard similarity >= least of their word shingles.
 
     Every pair of similar texts shares a shingle of both prefixes, so it lies in one cluster of texts that such
-    shingles join. Sets travel to the tasks of their cluster, where similarity is exact. No pair is ever a row.
+    shingles join. Sketches, which lose no similar pair either, tell which texts of a cluster's tasks have a candidate
+    there; only their sets travel to the tasks, where similarity is exact. No pair is ever a row.
     A component is named by a node of it.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rows = keep(_rows(texts, shingle))
     clusters = components(_linked(texts, size, shingle, least), "u", "v").select("node", F.col("component").alias("cluster"))
-    members = keep(rows.select("node", "n").distinct().join(clusters, "node"))
-    bitmap = _bitmap(members.select(F.col("node").bitwiseAND(BITS - 1).alias("p")))  # a false bit only computes a set too many
+    members = keep(rows.select("node", "n", "sketch").distinct().join(clusters, "node"))
+    found = _candidates(_tasks(members, least), least)
+    bitmap = _bitmap(found.select(F.col("node").bitwiseAND(BITS - 1).alias("p")))  # a false bit only computes a set too many
     sets = _sets(texts, shingle, df.sparkSession.sparkContext.broadcast(bitmap))
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    links = _verified(_tasks(members, least).join(sets, "node"), least)
+    links = _verified(found.join(sets, "node"), least)
     reach = components(links, "u", "v")
     return rows.join(reach, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
 

@@ -312,6 +312,8 @@ def test_similar_sets_of_any_sides():
             got = [got[x] if k == got[y] else k for k in got]
         groups = lambda of: {frozenset(i for i, k in enumerate(of) if k == one) for one in of}
         assert groups(got) == groups(label) and len(groups(label)) < len(sets)
+        fits = simhash.fitting([simhash.sketch(x).tobytes() for x in sets], np.array(list(map(len, sets))), side, 0.8)
+        assert all(fits[x] and fits[y] for x, y in simhash.similar(sets, side, 0.8))
 
 
 def test_chat(got):
