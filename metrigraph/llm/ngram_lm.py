@@ -5,7 +5,8 @@ level q is entered in the filter once for each level 1..q. A count is read back
 level until one is missing, so errors only raise a count, rarely and by little. A codebook turns a level
 into the mean count of its n-grams. Probabilities interpolate pair and word estimates (Jelinek-Mercer):
 p(w|h) = l * c(h,w) / c(h) + (1 - l) * (c(w) + 1) / (N + V + 1), where l depends on the level of h and
-is fitted by leave-one-out expectation maximisation on a bounded sample of training texts.
+is fitted by leave-one-out expectation maximisation on all tokens of the training texts. As estimates depend on
+levels only, workers count tokens by the levels of history, pair and word, and the fit runs over these counts.
 
 Counting: workers hash n-grams (64 bits) and send, per bucket of hashes, packed arrays of distinct hashes
 and counts; buckets grow in number with the text, so each stays small. Each bucket merges its arrays and
@@ -24,7 +25,7 @@ ignored. A text is scored whole whatever its length; an empty table gives no row
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,6 @@ class Params:
     bits: float = 7.3
     heavy: int = 100_000
     shard_bytes: int = 512 << 20
-    sample: int = 400
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -186,19 +186,24 @@ class Model:
     pairs: np.ndarray
     weights: np.ndarray  # interpolation weight by the history's level
 
-    def parts(self, lw: np.ndarray, lp: np.ndarray, n: np.ndarray, start: int, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pair estimate, word estimate and history level of each token; less: own occurrences to leave out."""
+    def histories(self, lw: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The level of each token's history; that of the number of texts for the first."""
         lh = np.empty_like(lw)
         lh[1:] = lw[:-1]
-        lh[np.cumsum(n) - n] = start
+        lh[np.cumsum(n) - n] = int(level(np.array([self.texts]))[0])
+        return lh
+
+    def parts(self, lh: np.ndarray, lp: np.ndarray, lw: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Pair estimate and word estimate of each token; less: own occurrences to leave out."""
         c = np.maximum(self.words[lh] - less, 0)
         bi = np.where(c > 0, np.minimum(np.maximum(self.pairs[lp] - less, 0) / np.maximum(c, 1e-9), 1.0), 0.0)
         uni = (np.maximum(self.words[lw] - less, 0) + 1) / (self.tokens + self.types + 1)
-        return bi, uni, lh
+        return bi, uni
 
     def score(self, lw: np.ndarray, lp: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 probability of every text."""
-        bi, uni, lh = self.parts(lw, lp, n, int(level(np.array([self.texts]))[0]))
+        lh = self.histories(lw, n)
+        bi, uni = self.parts(lh, lp, lw)
         w = self.weights[lh]
         return np.bincount(np.repeat(np.arange(len(n)), n), np.log10(w * bi + (1 - w) * uni), len(n)) if len(n) else np.zeros(0)
 
@@ -248,19 +253,45 @@ def _counts(train: DataFrame, buckets: int, p: Params) -> DataFrame:
     return keep(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket long, h binary, n binary, tokens long, types long, bits binary, types_at array<bigint>, counts_at array<bigint>, pair_types_at array<bigint>, pair_counts_at array<bigint>"))
 
 
-def _fit_weights(model: Model, lw: np.ndarray, lp: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Interpolation weight of each history level: leave-one-out EM on training texts."""
-    bi, uni, lh = model.parts(lw, lp, n, int(level(np.array([model.texts]))[0]), less=1)
+def _fit_weights(model: Model, lh: np.ndarray, lp: np.ndarray, lw: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Interpolation weight of each history level: leave-one-out EM on all training tokens, counted by levels."""
+    bi, uni = model.parts(lh, lp, lw, less=1)
     w = np.full(len(LEVELS) + 1, 0.3)
-    seen = np.bincount(lh, minlength=len(w))
+    seen = np.bincount(lh, times, len(w))
     for _ in range(30):
         mine = w[lh] * bi
         post = mine / (mine + (1 - w[lh]) * uni)
         # Two tokens of doubt per level keep weights off 0 and 1.
-        w = (np.bincount(lh, post, len(w)) + 0.02) / (seen + 2)
+        w = (np.bincount(lh, post * times, len(w)) + 0.02) / (seen + 2)
     return w
 
 
+def _level_counts(train: DataFrame, filters: list, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of history, pair and word, and how many tokens of all training texts have them."""
+    bare = replace(model, weights=np.zeros(0))
+    rows = train
+    for f in filters[:-1]:
+        rows = _pass(rows, f)
+    last, had = filters[-1], "levels" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            offs = utf8(big["text"])[1]
+            for i, j in slices(offs, 8 << 20):
+                batch = big.slice(i, j - i)
+                h, n = tokens(batch["text"])
+                lw, lp = levels(last.value, h, n)
+                if had:
+                    before = _levels_of(batch)
+                    lw, lp = np.maximum(lw, before[0]), np.maximum(lp, before[1])
+                code, times = np.unique((bare.histories(lw, n).astype(np.int64) << 16) | (lp.astype(np.int64) << 8) | lw, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(times, pa.int64())], ["code", "times"])
+
+    got = rows.mapInArrow(run, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).toArrow()  # triples of levels
+    code = got["code"].to_numpy()
+    return code >> 16, code >> 8 & 255, code & 255, got["times"].to_numpy()
+
+
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), p: Params = Params()) -> DataFrame:
     """(id, *carry, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     spark = docs.sparkSession
@@ -305,16 +336,11 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
             data[start[r[0] - low] : start[r[0] - low + 1]] = np.frombuffer(r[1], np.uint8)
         return Filter(low, high, buckets, data, start, p.hashes)
 
-    chosen = train.orderBy(F.xxhash64("text"), "text").limit(p.sample).toArrow()["text"] if texts else pa.array([], pa.string())
-    sample_h, sample_n = tokens(chosen)
-    sample_levels = [np.zeros(len(sample_h), np.uint8), np.zeros(len(sample_h), np.uint8)]
     filters = []
     for low, high in shards:
-        f = load(low, high)
-        sample_levels = [np.maximum(a, b) for a, b in zip(sample_levels, levels(f, sample_h, sample_n), strict=True)]
-        filters.append(sc.broadcast(f))
-        del f
-    model.weights = _fit_weights(model, *sample_levels, sample_n) if len(sample_h) else model.weights
+        filters.append(sc.broadcast(load(low, high)))
+    if texts:
+        model.weights = _fit_weights(model, *_level_counts(train, filters, model))
     held = sc.broadcast((model, heavy_h, np.log10(heavy_n + 1.0)))
 
     rows = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text"))

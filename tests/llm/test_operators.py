@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from metrigraph.llm import bank, decontaminate, quality, simhash, suffix_dedup
+from metrigraph.llm import bank, decontaminate, ngram_lm, quality, simhash, suffix_dedup
 
 RNG = random.Random(5)
 VOCAB = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 9))) for _ in range(400)]
@@ -143,6 +143,24 @@ def test_language_model(got, rows):
     assert all(r["score"] < 0 for r in out)
 
 
+def test_language_model_learns_weights_from_all_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(VOCAB[:40], k=30)) for _ in range(450)]
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    fit, sums = ngram_lm._fit_weights, []
+
+    def spy(model, *counts):
+        sums.append(int(counts[-1].sum()))
+        return fit(model, *counts)
+
+    monkeypatch.setattr(ngram_lm, "_fit_weights", spy)
+    for p in (ngram_lm.Params(), ngram_lm.Params(shard_bytes=200)):
+        out = ngram_lm.score(train, train, p=p).collect()
+        assert len(out) == 450 and sums.pop() == 450 * 31
+        sums.append(sorted(round(r["score"], 6) for r in out))
+    assert sums[0] == sums[1]
+
+
 def test_mixing(got, rows):
     out = got("op4_mixing")
     assert multiset(out, ["doc_id", "size"]) == Counter((r[0], len(words(r[1]))) for r in rows)
