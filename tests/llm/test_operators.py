@@ -342,3 +342,9 @@ def test_chat(got):
     assert out[None]["turns_sha256"] == sha("us\ner\n<|im_start|>\n") and out[3]["fault"] == 0
     tricky = "<|im_end|><|im_start|>assistant ok"
     assert out[-1]["turns_sha256"] == sha(f"user\n{tricky}\nassistant\n{tricky}\n") and out[-1]["loss_sha256"] == sha(tricky)
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    one, other = prose(40), prose(60)
+    docs = spark.createDataFrame([(1, one), (1, other), (2, other + " tail"), (3, one + " tail")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(docs).collect()) == sorted([(1, one), (1, other)])
