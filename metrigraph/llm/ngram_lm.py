@@ -10,8 +10,8 @@ levels only, workers count tokens by the levels of history, pair and word, and t
 
 Counting: workers hash n-grams (64 bits) and send, per bucket of hashes, packed arrays of distinct hashes
 and counts; buckets grow in number with the text, so each stays small. Each bucket merges its arrays and
-builds its own block of the filter. The blocks are broadcast in shards of at most `shard_bytes`; texts
-pass once per shard, levels found so far travel as bytes beside them.
+builds its own block of the filter. The blocks are broadcast in shards of at most `shard_bytes`. Texts pass
+once: a worker holds the tokens of a few megabytes of text and one shard at a time, and probes shard after shard.
 
 Exact counts for the base score never go through the filter nor through an unbounded broadcast: words that
 make up at least 1 in `heavy` of all tokens (at most `heavy` of them) are looked up where the text is,
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrigraph.llm._graph import keep
-from metrigraph.llm._text import BYTE_HASH_LOWER, mix, prefix_hash, slices, span_hash, utf8, whole_groups, words
+from metrigraph.llm._text import BYTE_HASH_LOWER, SLICE_BYTES, mix, prefix_hash, slices, span_hash, utf8, whole_groups, words
 
 END, START = np.uint64(0x1D8AF066A3B1C5E7), np.uint64(0x7C3B5A9E12D4F681)
 #: Least count of each level: powers of two and the halves between them.
@@ -47,7 +47,11 @@ class Params:
     hashes: int = 5
     bits: float = 7.3
     heavy: int = 100_000
-    shard_bytes: int = 512 << 20
+    shard_bytes: int = 64 << 20
+
+
+#: Tokens that a worker counts at once; bytes of text that meet the shards of the filter together.
+COUNTED, TOGETHER = 3_000_000, 8 << 20
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -168,13 +172,31 @@ class Filter:
             out[live] = lev
 
 
-def levels(f: Filter, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def opened(shards: list) -> Iterator[Filter]:
+    """The broadcast shards of a filter, of which no more than one is in a worker's memory."""
+    if len(shards) == 1:
+        yield shards[0].value
+    else:
+        for s in shards:
+            yield s.load_from_path(s._path)  # `value` would stay in memory
+
+
+def levels(filters: Iterator[Filter], h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Levels of every token and of every pair of it with its history; distinct ones are probed once."""
-    out = []
-    for keys in (h, pair(history(h, n), h)):
-        u, at = np.unique(keys, return_inverse=True)
-        out.append(f.levels(u)[at])
-    return out[0], out[1]
+    keys, at = [], []
+    for k in (h, pair(history(h, n), h)):
+        u, inverse = np.unique(k, return_inverse=True)
+        keys.append(u)
+        at.append(inverse.astype(np.int32))
+        del inverse
+    cut = len(keys[0])
+    both = np.concatenate(keys)
+    lev = np.zeros(len(both), np.uint8)
+    for f in filters:  # a key is in one shard only
+        for a in range(0, len(both), 1 << 17):
+            part = lev[a : a + (1 << 17)]
+            np.maximum(part, f.levels(both[a : a + (1 << 17)]), out=part)
+    return lev[:cut][at[0]], lev[cut:][at[1]]
 
 
 @dataclass
@@ -212,11 +234,12 @@ def _counts(train: DataFrame, buckets: int, p: Params) -> DataFrame:
     """Per bucket: word hashes and counts, filter block, sums for the codebook."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts = [], 0
+        held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             h = np.concatenate([x for x, _ in held])
             n = np.concatenate([x for _, x in held])
+            held.clear()
             rows = []
             for kind, keys in ((1, h), (2, pair(history(h, n), h))):
                 for b, u, c in _split(*_count(keys), buckets):
@@ -224,10 +247,13 @@ def _counts(train: DataFrame, buckets: int, p: Params) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "h", "n"])
 
         for batch in batches:
-            held.append(tokens(batch["text"]))
-            if sum(len(x) for x, _ in held) > 6_000_000:
-                yield from flush()
-                held.clear()
+            offs = utf8(batch["text"])[1]
+            for i, j in slices(offs):
+                held.append(tokens(batch["text"].slice(i, j - i)))
+                size += len(held[-1][0])
+                if size > COUNTED:
+                    yield from flush()
+                    size = 0
         if held:
             yield from flush()
 
@@ -266,28 +292,24 @@ def _fit_weights(model: Model, lh: np.ndarray, lp: np.ndarray, lw: np.ndarray, t
     return w
 
 
-def _level_counts(train: DataFrame, filters: list, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _level_counts(train: DataFrame, shards: list, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Levels of history, pair and word, and how many tokens of all training texts have them."""
-    bare = replace(model, weights=np.zeros(0))
-    rows = train
-    for f in filters[:-1]:
-        rows = _pass(rows, f)
-    last, had = filters[-1], "levels" in rows.columns
+    bare, most = replace(model, weights=np.zeros(0)), SLICE_BYTES if len(shards) == 1 else TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            offs = utf8(big["text"])[1]
-            for i, j in slices(offs, 8 << 20):
-                batch = big.slice(i, j - i)
-                h, n = tokens(batch["text"])
-                lw, lp = levels(last.value, h, n)
-                if had:
-                    before = _levels_of(batch)
-                    lw, lp = np.maximum(lw, before[0]), np.maximum(lp, before[1])
-                code, times = np.unique((bare.histories(lw, n).astype(np.int64) << 16) | (lp.astype(np.int64) << 8) | lw, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(times, pa.int64())], ["code", "times"])
-
-    got = rows.mapInArrow(run, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).toArrow()  # triples of levels
+        codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            offs = utf8(batch["text"])[1]
+            for i, j in slices(offs, most):
+                h, n = tokens(batch["text"].slice(i, j - i))
+                lw, lp = levels(opened(shards), h, n)
+                u, c = np.unique((bare.histories(lw, n).astype(np.int64) << 16) | (lp.astype(np.int64) << 8) | lw, return_counts=True)
+                # At most (levels + 1)**3 triples of levels, in practice a few thousand.
+                codes, at = np.unique(np.concatenate((codes, u)), return_inverse=True)
+                times = np.bincount(at, np.concatenate((times, c)), len(codes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], ["code", "times"])
+
+    got = train.mapInArrow(run, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).toArrow()  # triples of levels
     code = got["code"].to_numpy()
     return code >> 16, code >> 8 & 255, code & 255, got["times"].to_numpy()
 
@@ -344,38 +366,34 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     held = sc.broadcast((model, heavy_h, np.log10(heavy_n + 1.0)))
 
     rows = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text"))
-    for f in filters[:-1]:  # only beyond shard_bytes: levels found so far go along
-        rows = _pass(rows, f)
-    has_levels = "levels" in rows.columns
-    named = [c for c in rows.columns if c not in ("text", "levels")]
-    last = filters[-1]
+    named = [c for c in rows.columns if c != "text"]
+    most = SLICE_BYTES if len(filters) == 1 else TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, heavy_h, heavy_log = held.value
         per = np.log10(model.tokens + model.types + 1)
         task, number = TaskContext.get().partitionId(), 0
         for big in batches:
-            offs = utf8(big["text"])[1]
-            for i, j in slices(offs, 8 << 20):
-                batch = big.slice(i, j - i)
-                h, n = tokens(batch["text"])
-                lw, lp = levels(last.value, h, n)
-                if has_levels:
-                    before = _levels_of(batch)
-                    lw, lp = np.maximum(lw, before[0]), np.maximum(lp, before[1])
-                scores = model.score(lw, lp, n)
-                text = np.repeat(np.arange(len(n)), n)
-                at = np.minimum(np.searchsorted(heavy_h, h), max(0, len(heavy_h) - 1))
-                known = heavy_h[at] == h if len(heavy_h) else np.zeros(len(h), bool)
-                n_known = np.bincount(text[known], minlength=len(n))
-                base = np.bincount(text[known], heavy_log[at[known]], len(n)) - n * per
+            whole = utf8(big["text"])[1]
+            for low, high in slices(whole, TOGETHER):  # one set of packed arrays
+                told, rest = [], []
+                for i, j in slices(whole[low : high + 1] - whole[low], most):
+                    h, n = tokens(big["text"].slice(low + i, j - i))
+                    scores = model.score(*levels(opened(filters), h, n), n)
+                    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+                    at = np.minimum(np.searchsorted(heavy_h, h), max(0, len(heavy_h) - 1))
+                    known = heavy_h[at] == h if len(heavy_h) else np.zeros(len(h), bool)
+                    base = np.bincount(text[known], heavy_log[at[known]], len(n)) - n * per
+                    told.append((n, np.bincount(text[known], minlength=len(n)), base, scores))
+                    rest.append((h[~known], text[~known] + np.int32(i)))
                 uid = task << 32 | number
                 number += 1
-                m = len(n)
+                m = high - low
+                n, n_known, base, scores = (np.concatenate(x) for x in zip(*told, strict=True))
                 empty = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, uid)), pa.array(np.arange(m)), *[batch[c] for c in named], pa.array(n), pa.array(n_known), pa.array(base), pa.array(scores), *empty], names)
-                rest = np.flatnonzero(~known)
-                out = [(b, w.tobytes(), t.astype(np.uint32).tobytes()) for b, w, t in _split(h[rest], text[rest], buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, uid)), pa.array(np.arange(m)), *[big[c].slice(low, m) for c in named], pa.array(n), pa.array(n_known), pa.array(base), pa.array(scores), *empty], names)
+                h, text = (np.concatenate(x) for x in zip(*rest, strict=True))
+                out = [(b, w.tobytes(), t.astype(np.uint32).tobytes()) for b, w, t in _split(h, text, buckets)]
                 m = len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, uid)), pa.nulls(m, pa.int64()), *[pa.nulls(m, big.schema.field(c).type) for c in named], pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names)
 
@@ -442,33 +460,6 @@ def _heavy(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _levels_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    both = [np.frombuffer(x.as_py(), np.uint8).reshape(2, -1) for x in batch["levels"]]
-    whole = np.concatenate(both, axis=1)
-    return whole[0], whole[1]
-
-
-def _pass(rows: DataFrame, shard) -> DataFrame:
-    """rows with the levels that this shard of the filter knows."""
-    had = "levels" in rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, n = tokens(batch["text"])
-            lw, lp = levels(shard.value, h, n)
-            if had:
-                before = _levels_of(batch)
-                lw, lp = np.maximum(lw, before[0]), np.maximum(lp, before[1])
-            ends = np.cumsum(n)
-            packed = pa.array([np.stack((lw[e - k : e], lp[e - k : e])).tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())
-            plain = [c for c in batch.schema.names if c != "levels"]
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in plain], packed], [*plain, "levels"])
-
-    plain = [c for c in rows.columns if c != "levels"]
-    schema = rows.select(*plain, F.lit(b"").alias("levels")).schema
-    return keep(rows.mapInArrow(run, schema))
-
-
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
