@@ -6,10 +6,12 @@ is the same word. A softmax layer turns the average into class probabilities. As
 of logits and their number, computed once for each distinct word of a slice of texts.
 
 Training: `fit` takes at most `sample` labelled rows, those with the smallest hash of their id, a bound that
-doesn't grow with the corpus (about 4 KB a row on the driver); scoring reads every whole text. The model is
-buckets * 4 bytes for workers (one logit difference per bucket), whatever the corpus.
+doesn't grow with the corpus, and trains in one executor task; only the model comes to the driver. Scoring reads
+every whole text, in slices of about a megabyte (a longer text is a slice of its own). The model is buckets * 4
+bytes for workers (one logit difference per bucket), whatever the corpus.
 
-Defined results: null and empty texts have no features and get the bias alone; ids, sources and languages
+Defined results: null and empty texts have no features and get the bias alone; very long texts are scored whole; an
+empty table gives no rows; ties of the id's hash are taken in order of id and label; ids, sources and languages
 are never features; labels other than 0 and 1, null labels and labels of unknown ids are ignored; ids with
 conflicting labels count with each; with fewer than two classes in the sample every score is the share of
 class 1 (0.5 without labels). Repeated rows get equal scores; extra columns stay.
@@ -175,10 +177,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # Ids are chosen before texts move: only the sample's texts reach the driver.
     chosen = known.join(rows.select("_id").distinct(), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id", "_label").limit(p.sample)
-    table = rows.join(F.broadcast(chosen), "_id").dropDuplicates(["_id", "_label", "_text"]).toArrow()
-    order = np.lexsort((table["_label"].to_numpy(), table["_id"].to_numpy())) if len(table) else []
-    texts = table["_text"].cast(pa.large_binary()).to_pylist()
-    return train([texts[i] for i in order], table["_label"].to_numpy()[order] if len(table) else np.zeros(0), p)
+    sample = rows.join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("h"), F.col("_label").alias("label"), F.col("_text").alias("text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("label", "ascending"), ("text", "ascending")])
+        model = train(table["text"].cast(pa.large_binary()).to_pylist(), table["label"].to_numpy(), p)
+        yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()]), pa.array([model.bias])], ["logits", "bias"])
+
+    got = sample.repartition(1).mapInArrow(run, "logits binary, bias double").first()  # p.sample rows at most in one task
+    return Model(p, np.frombuffer(got["logits"], np.float32), got["bias"]) if got else train([], np.zeros(0), p)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:

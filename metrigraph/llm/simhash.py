@@ -291,10 +291,13 @@ def _common(df: DataFrame, size: int, shingle: int) -> tuple[np.ndarray, np.ndar
             blobs = [np.unique(shingle_hashes(t.as_py() or b"", shingle).astype(np.uint64)).tobytes() for t in batch["text"].cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(blobs)], pa.binary())], ["h"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), np.uint64) for b in batches for x in b["h"]]]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([h[n > 1].tobytes()]), pa.array([n[n > 1].tobytes()])], ["h", "n"])
+
     part = df if size <= SAMPLE_BYTES else df.sample(SAMPLE_BYTES / size, 7)
-    got = part.mapInArrow(run, "h binary").toArrow()["h"]
-    h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), np.uint64) for x in got]]), return_counts=True)
-    return h[n > 1], n[n > 1]
+    got = part.mapInArrow(run, "h binary").repartition(1).mapInArrow(count, "h binary, n binary").first()  # of SAMPLE_BYTES of text
+    return np.frombuffer(got["h"] if got else b"", np.uint64), np.frombuffer(got["n"] if got else b"", np.int64)
 
 
 def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
