@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, near the wanted ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession

@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND.
 
-Every training text is cut into overlapping passages, at least twice as long as the longest item and half
-overlapping, so that some passage holds any item whole. Each passage is a query against the index of
+Every training text is cut into overlapping passages, half overlapping and at least twice as long as the items they
+are compared with, so that some passage holds any item whole: items are indexed by length, in classes whose longest
+have a power of two of words, each with passages of its own. Each passage is a query against an index of
 items; scores are BM25 divided by the item's score for itself, so 1 means "all its terms", and all items
 at or above the threshold are retrieved. A hit is verified by the share of word trigrams of the item's
 question and of its answer that the passage holds; both must pass.
@@ -11,11 +12,14 @@ to search. For the other terms numpy adds up the impacts by passage and item for
 where that and the common terms' greatest impacts stay below the threshold for every item, the passage
 can't hold a hit. Only the rest are searched.
 
-The index is broadcast. Its size follows the benchmark, not the corpus, and is checked: items are
-indexed in blocks of at most `block_bytes` of text, one pass each.
+The indexes are broadcast. Their size follows the benchmark, not the corpus, and is checked: items are
+indexed in blocks of at most `block_bytes` of text, one pass each. Document frequencies, the number of items and
+their mean length are those of all items, so scores don't depend on blocks and classes.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than three words is
-verified by its words; repeated items each match; repeated documents each match; extra columns stay.
+verified by its words; repeated items each match; repeated documents each match; of passages that tie in score the
+one of greater overlaps is told; very long texts are searched whole; an empty table gives no hits; extra columns of
+any name stay.
 """
 
 from __future__ import annotations
@@ -117,16 +121,46 @@ class Index:
         return out
 
 
-def build(ids: list, texts: list[str | None], p: Params = Params()) -> Index:
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: their number, mean length in words, and how many items hold each term (sorted hashes)."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def statistics(texts: Iterator[list[str | None]]) -> Statistics:
+    items, total, terms, df = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in texts:
+        h, n = tokens(pa.array(part, pa.string()))
+        u, at = np.unique(h, return_inverse=True)
+        pairs = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(u)) + at)
+        own = np.bincount(pairs % max(1, len(u)), minlength=len(u))
+        terms, at = np.unique(np.concatenate((terms, u)), return_inverse=True)
+        df = np.bincount(at, np.concatenate((df, own)), len(terms)).astype(np.int64)
+        items, total = items + len(n), total + int(n.sum())
+    return Statistics(items, total / max(1, items), terms, df)
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    """The least power of two that isn't below a number of words."""
+    return 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
+def build(ids: list, texts: list[str | None], p: Params = Params(), stats: Statistics | None = None, longest: int | None = None) -> Index:
+    """An index of these items; stats: of all items, if there are others; longest: words of the longest item of the class."""
+    stats = stats or statistics(iter([texts]))
     h, n = tokens(pa.array(texts, pa.string()))
     at = np.concatenate(([0], np.cumsum(n)))
     terms, term = np.unique(h, return_inverse=True)
     item = np.repeat(np.arange(len(ids)), n)
     pair, tf = np.unique(term * max(1, len(ids)) + item, return_counts=True)
     term, item = pair // max(1, len(ids)), pair % max(1, len(ids))
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(ids) - df + 0.5) / (df + 0.5))
-    norm = p.k1 * (1 - p.b + p.b * n / max(1.0, n.mean() if len(n) else 1.0))
+    df = stats.df[np.searchsorted(stats.terms, terms)]
+    idf = np.log(1 + (stats.items - df + 0.5) / (df + 0.5))
+    norm = p.k1 * (1 - p.b + p.b * n / max(1.0, stats.mean))
     impact = idf[term] * tf * (p.k1 + 1) / (tf + norm[item])
     impact /= np.bincount(item, impact, len(ids))[item]
     first = np.searchsorted(term, np.arange(len(terms) + 1))
@@ -134,7 +168,7 @@ def build(ids: list, texts: list[str | None], p: Params = Params()) -> Index:
     q = [question_words(t or "", int(k)) for t, k in zip(texts, n, strict=True)]
     question = [trigrams(h[a : a + k]) for a, k in zip(at, q, strict=False)]
     answer = [trigrams(h[a + k : b]) for a, b, k in zip(at, at[1:], q, strict=False)]
-    return Index(p, ids, terms, first, item, impact, most, int(n.max(initial=0)), question, answer)
+    return Index(p, ids, terms, first, item, impact, most, longest or int(n.max(initial=0)), question, answer)
 
 
 def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -216,16 +250,17 @@ def _runs(total: np.ndarray, group: np.ndarray, most: int = 1 << 20) -> Iterator
         i = j
 
 
-def search(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap) of verified hits, the best passage of each pair."""
+def search(indexes: list[Index], column: pa.Array) -> Iterator[tuple[int, object, float, float, float]]:
+    """(text, item's id, score, question overlap, answer overlap) of verified hits, the best passage of each pair."""
     for i, j in slices(utf8(column)[1]):
-        for row, *rest in _search(index, column.slice(i, j - i)):
-            yield row + i, *rest
+        h, counts = tokens(column.slice(i, j - i))
+        for index in indexes:
+            for row, item, *rest in _search(index, h, counts):
+                yield row + i, index.ids[item], *rest
 
 
-def _search(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+def _search(index: Index, h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
     p = index.params
-    h, counts = tokens(column)
     if not len(h) or not len(index.terms):
         return
     length = max(p.passage, 2 * index.longest)
@@ -264,40 +299,48 @@ def _search(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, f
         yield i, item, *x
 
 
-def indexes(items: DataFrame, id_col: str, text_col: str, p: Params) -> list[Index]:
-    """Indexes over all items, each of at most about p.block_bytes of text."""
-    total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def indexes(items: DataFrame, id_col: str, text_col: str, p: Params) -> Iterator[list[Index]]:
+    """Indexes over all items by blocks of about p.block_bytes of text; only one block is on the driver at a time."""
+    items = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // p.block_bytes) or 1
-    out = []
+
+    def block(k: int) -> list[dict]:
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+        return sorted(part.toArrow().to_pylist(), key=lambda r: (r["id"] is None, r["id"], r["text"] or ""))
+
+    stats = statistics([r["text"] for r in block(k)] for k in range(blocks))
     for k in range(blocks):
-        part = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        rows = sorted(part.toArrow().to_pylist(), key=lambda r: (r["id"] is None, r["id"], r["text"] or ""))
-        out.append(build([r["id"] for r in rows], [r["text"] for r in rows], p))
-    return out
+        rows = block(k)
+        of = length_class(tokens(pa.array([r["text"] for r in rows], pa.string()))[1])
+        out = []
+        for size in np.unique(of).tolist():
+            mine = [r for r, c in zip(rows, of, strict=True) if c == size]
+            out.append(build([r["id"] for r in mine], [r["text"] for r in mine], p, stats, size))
+        yield out
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", p: Params = Params()) -> DataFrame:
     """(doc_id, item_id, score, question, answer) of every verified hit."""
     out = None
-    for index in indexes(items, item_id, item_text, p):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for part in indexes(items, item_id, item_text, p):
+        held = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = list(search(held.value, batch["text"]))
                 ids = batch["id"].take(pa.array([r[0] for r in rows], pa.int64()))
-                items_ = pa.array([held.value.ids[r[1]] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, items_, *[pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4)]], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4)]], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.union(part)
+        found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        out = found if out is None else out.union(found)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", p: Params = Params()) -> DataFrame:
     """The documents without a verified hit, with all their columns."""
-    for index in indexes(items, item_id, item_text, p):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for part in indexes(items, item_id, item_text, p):
+        held = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -9,8 +9,9 @@ The rule weights are fixed parameters: the pages carry no labels to learn from.
 
 Defined results: null and empty html give empty text; broken markup never fails: a stray end tag is
 ignored, an open element ends with its parent, an open comment, script or tag runs to the page's end.
-White space is what str.split() splits at, decoded no-break spaces included. Ties of the cut go to
-boilerplate. Repeated rows give equal rows; extra columns are ignored; an empty table gives no rows.
+White space is what str.split() splits at, decoded no-break spaces included. Text of formulas, drawings, objects and
+noscript elements is text like any other. Ties of the cut go to boilerplate. Very long pages are labelled whole.
+Repeated rows give equal rows; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(script|style|template|textarea|select|iframe|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
@@ -35,11 +36,16 @@ _END = re.compile(r"[.!?…:;]")
 
 # Element names by their meaning in HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+FOREIGN = frozenset(
+    "svg g path circle ellipse line polygon polyline rect defs use symbol text tspan textpath desc marker mask pattern clippath lineargradient radialgradient stop filter "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose mfenced semantics annotation".split()
+)
+INLINE |= FOREIGN | {"object"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot article section div body main aside nav form header footer blockquote".split())
 #: Weight of an element among a block's ancestors; above 0 speaks for content.
-TAGS = {"article": 4.0, "main": 3.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "button": -8.0, "head": -20.0, "header": -7.0}
+TAGS = {"article": 4.0, "main": 3.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "button": -8.0, "head": -20.0, "header": -7.0, "noscript": -2.0}
 #: Weight of a word in a class, id or role.
 HINTS = {
     **dict.fromkeys("article content entry post story body text main".split(), 1.5),
@@ -152,6 +158,8 @@ class Blocks:
                 if name not in ("html", "body") and m[4]:
                     own += _hints(m[4])
                 self._n += 1
+                if name in FOREIGN and m[4].rstrip().endswith("/"):
+                    continue  # in drawings and formulas such an element is empty
                 stack.append((name, self._n, around + own))
                 in_link += name == "a"
         if at < len(page):

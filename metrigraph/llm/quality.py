@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with the probability of class 1."""
+    """docs with the probability of class 1; a column named out_col is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name != out_col]
     schema = T.StructType([*fields, T.StructField(out_col, T.DoubleType())])

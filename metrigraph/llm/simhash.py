@@ -16,7 +16,9 @@ least similarity) form clusters; within one, exact Jaccard similarity decides, i
 Defined results: null text is empty text; a text with fewer words than a shingle is one shingle; a text
 without words has fingerprint zero and links like any other. Repeated rows share a fingerprint and
 so a component. A null id never names a component while its component has another id. Rows that share
-an id count as one node of `groups`, not of `near_duplicates`. Extra columns are ignored by `fingerprints` and kept by `keep_one`.
+an id count as one node of `groups`, not of `near_duplicates`. Very long texts are shingled whole. Of a tie (rows of
+one id that `keep_one` could keep) the text of the smaller key stays. Extra columns of any name are ignored by
+`fingerprints` and kept by `keep_one`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrigraph.llm._graph import components, forest, keep
+from metrigraph.llm._graph import components, forest, fresh, keep
 from metrigraph.llm._text import whole_groups
 
 #: Fingerprints in one block of planes; queries that go through a block together.
@@ -543,14 +545,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """df with one row of each group: that of the smallest id. Of repeated rows one stays."""
+    """df, all its columns, with one row of each group: that of the smallest id. Of repeated rows one stays."""
+    i, k, go = fresh(df, "_i", "_k", "_go")
     groups_ = keep(near_duplicates(df, id_col, text_col, shingle, least))
     win = groups_.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("i"), "key")).alias("w"))
-    each = groups_.groupBy(F.coalesce("id", F.lit(NO_ID)).alias("_i"), F.col("key").alias("_k")).agg(F.count("*").alias("times"), F.min("component").alias("component"))
-    each = each.join(win, "component").select("_i", "_k", "times", ((F.col("_i") == F.col("w.i")) & (F.col("_k") == F.col("w.key"))).alias("stays"))
+    each = groups_.groupBy(F.coalesce("id", F.lit(NO_ID)).alias(i), F.col("key").alias(k)).agg(F.count("*").alias("times"), F.min("component").alias("component"))
+    each = each.join(win, "component").select(i, k, "times", ((F.col(i) == F.col("w.i")) & (F.col(k) == F.col("w.key"))).alias("stays"))
     each = keep(each.where("not stays or times > 1"))
     words_key = F.unhex(F.md5(F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+", " "))))
-    place = F.pmod(F.xxhash64("_i"), F.lit(BITS))
+    place = F.pmod(F.xxhash64(i), F.lit(BITS))
     seen = df.sparkSession.sparkContext.broadcast(_bitmap(each.select(place.alias("p"))))
 
     @F.pandas_udf("boolean")
@@ -558,10 +561,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         at = places.to_numpy()
         return pd.Series((seen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
-    rows = df.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_go", may_go(place))
-    keyed = rows.where("_go").withColumn("_k", words_key)  # only rows that may go are dealt out; the join decides
-    out = rows.where("not _go").select(*df.columns).union(keyed.join(each, ["_i", "_k"], "left_anti").select(*df.columns))
-    repeated = each.where("stays and times > 1")
+    rows = df.withColumn(i, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(go, may_go(place))
+    keyed = rows.where(F.col(go)).withColumn(k, words_key)  # only rows that may go are dealt out; the join decides
+    out = rows.where(~F.col(go)).select(*df.columns).union(keyed.join(each.select(i, k), [i, k], "left_anti").select(*df.columns))
+    repeated = each.where("stays and times > 1").select(i, k)
     if repeated.head(1):
-        out = out.union(keyed.join(repeated, ["_i", "_k"], "left_semi").dropDuplicates(["_i", "_k"]).select(*df.columns))
+        out = out.union(keyed.join(repeated, [i, k], "left_semi").dropDuplicates([i, k]).select(*df.columns))
     return out
