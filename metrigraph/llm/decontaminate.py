@@ -16,8 +16,8 @@ The indexes are broadcast. Their size follows the benchmark, not the corpus, and
 indexed in blocks of at most `block_bytes` of text, one pass each. Document frequencies, the number of items and
 their mean length are those of all items, so scores don't depend on blocks and classes.
 
-Defined results: null and empty texts and items match nothing; an item of fewer than three words is
-verified by its words; repeated items each match; repeated documents each match; of passages that tie in score the
+Defined results: null and empty texts and items match nothing; a question or answer of fewer than
+SHORT words is verified by its words; repeated items each match; repeated documents each match; of passages that tie in score the
 one of greater overlaps is told; very long texts are searched whole; an empty table gives no hits; extra columns of
 any name stay.
 """
@@ -64,8 +64,13 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-def trigrams(h: np.ndarray) -> np.ndarray:
-    if len(h) < 3:
+#: Parts of fewer words are verified by their words: of so few trigrams a changed word takes most.
+SHORT = 8
+
+
+def trigrams(h: np.ndarray, least: int = 3) -> np.ndarray:
+    """Hashes of the word trigrams; of the words, if there are fewer than `least`."""
+    if len(h) < least:
         return np.unique(h)
     return np.unique(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) ^ h[2:])
 
@@ -166,8 +171,8 @@ def build(ids: list, texts: list[str | None], p: Params = Params(), stats: Stati
     first = np.searchsorted(term, np.arange(len(terms) + 1))
     most = np.maximum.reduceat(impact, first[:-1]) if len(terms) else np.zeros(0)
     q = [question_words(t or "", int(k)) for t, k in zip(texts, n, strict=True)]
-    question = [trigrams(h[a : a + k]) for a, k in zip(at, q, strict=False)]
-    answer = [trigrams(h[a + k : b]) for a, b, k in zip(at, at[1:], q, strict=False)]
+    question = [trigrams(h[a : a + k], SHORT) for a, k in zip(at, q, strict=False)]
+    answer = [trigrams(h[a + k : b], SHORT) for a, b, k in zip(at, at[1:], q, strict=False)]
     return Index(p, ids, terms, first, item, impact, most, longest or int(n.max(initial=0)), question, answer)
 
 
