@@ -72,23 +72,38 @@ def word_features(word: bytes, p: Params) -> np.ndarray:
     return (span_hash(h, np.concatenate(starts), np.concatenate(ends)) % np.uint64(p.buckets)).astype(np.int64)
 
 
-def _sparse(texts: list[bytes], p: Params) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text: its buckets, and their share among its features."""
-    seen: dict[bytes, np.ndarray] = {}
-    pairs = pair_buckets(p)
-    out = []
-    for text in texts:
-        parts = []
-        ws = text.split()
-        for w in ws:
-            if w not in seen:
-                seen[w] = word_features(w, p)
-            parts.append(seen[w])
-        same = sum(map(bytes.__eq__, ws, ws[1:]))
-        parts += [np.repeat(pairs, (max(0, len(ws) - 1 - same), same))] if ws else []
-        ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
-        out.append((ids, (n / max(1, n.sum())).astype(np.float32)))
-    return out
+def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of these words, and the word each belongs to; as word_features, in numpy."""
+    lens = ends - starts
+    at = np.concatenate(([0], np.cumsum(lens + 2)))
+    marked = np.full(at[-1], ord("<"), np.uint8)
+    inner = np.repeat(at[:-1] + 1 - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
+    marked[inner] = buf[np.repeat(starts - at[:-1] - 1, lens) + inner]
+    marked[at[1:] - 1] = ord(">")
+    h = prefix_hash(marked, BYTE_HASH)
+    ids, owner = [span_hash(h, at[:-1], at[1:])], [np.arange(len(lens))]
+    for size in range(p.least, p.most + 1):
+        some = np.maximum(lens + 2 - size + 1, 0) * (lens + 2 > size)
+        s = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(some)[:-1])), some) + np.arange(some.sum())
+        ids.append(span_hash(h, s, s + size))
+        owner.append(np.repeat(np.arange(len(lens)), some))
+    return (np.concatenate(ids) % np.uint64(p.buckets)).astype(np.int32), np.concatenate(owner)
+
+
+def _sparse(text: bytes, p: Params, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets, and their share among its features."""
+    buf = np.frombuffer(text, np.uint8)
+    starts, ends, _ = words(buf, np.array([0, len(buf)]))
+    if not len(starts):
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    keys = span_hash(prefix_hash(buf, BYTE_HASH), starts, ends)
+    _, first, at, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    ids, owner = features(buf, starts[first], ends[first], p)
+    same = int((at[1:] == at[:-1]).sum())
+    ids, weight = np.concatenate((ids, pairs.astype(np.int32))), np.concatenate((times[owner], [len(at) - 1 - same, same]))
+    u, of = np.unique(ids[weight > 0], return_inverse=True)
+    n = np.bincount(of, weight[weight > 0], len(u))
+    return u, (n / n.sum()).astype(np.float32)
 
 
 def train(texts: list[bytes], labels: np.ndarray, p: Params = Params()) -> Model:
@@ -103,7 +118,8 @@ def train(texts: list[bytes], labels: np.ndarray, p: Params = Params()) -> Model
     out = np.zeros((p.dim, 2), np.float32)
     bias = np.zeros(2, np.float32)
     weight = (len(labels) / (2 * np.bincount(labels, minlength=2)))[labels].astype(np.float32)  # both classes count alike
-    docs = _sparse(texts, p)
+    pairs = pair_buckets(p)
+    docs = [_sparse(t, p, pairs) for t in texts]
     steps = p.epochs * -(-len(docs) // p.batch)
     step = 0
     for _ in range(p.epochs):
@@ -151,24 +167,9 @@ class Scorer:
         return out
 
     def _vocabulary(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logit sums and feature numbers of distinct words, all n-gram lengths in numpy."""
-        p = self.model.params
-        lens = ends - starts
-        at = np.concatenate(([0], np.cumsum(lens + 2)))
-        marked = np.full(at[-1], ord("<"), np.uint8)
-        fill = np.repeat(starts - at[:-1] - 1, lens) + (inner := np.repeat(at[:-1] + 1 - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum()))
-        marked[inner] = buf[fill]
-        marked[at[1:] - 1] = ord(">")
-        h = prefix_hash(marked, BYTE_HASH)
-        full = self.model.logits[span_hash(h, at[:-1], at[1:]) % np.uint64(p.buckets)].astype(np.float64)
-        n = np.ones(len(lens), np.int64)
-        for size in range(p.least, p.most + 1):
-            some = np.maximum(lens + 2 - size + 1, 0) * (lens + 2 > size)
-            s = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(some)[:-1])), some) + np.arange(some.sum())
-            v = self.model.logits[span_hash(h, s, s + size) % np.uint64(p.buckets)]
-            full += np.bincount(np.repeat(np.arange(len(lens)), some), v, len(lens))
-            n += some
-        return full, n
+        """Logit sums and feature numbers of distinct words."""
+        ids, owner = features(buf, starts, ends, self.model.params)
+        return np.bincount(owner, self.model.logits[ids], len(starts)), np.bincount(owner, minlength=len(starts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", p: Params = Params()) -> Model:

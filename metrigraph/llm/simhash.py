@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,10 @@ from metrigraph.llm._text import whole_groups
 BLOCK, TOGETHER = 8192, 64
 #: Shingles of all rows of a block in which near duplicates are verified.
 SET_ROWS = 1_500_000.0
-#: Bytes of text that the order of shingles is learnt from, and bytes of text a bucket of prefixes.
-SAMPLE_BYTES, BUCKET_BYTES = 24 << 20, 16 << 20
+#: Shingles that a worker holds at once, and bytes of text a bucket of shingles.
+HELD, BUCKET_BYTES = 1_000_000, 8 << 20
+#: Texts that a worker holds at once: their numbers fit 16 bits.
+TEXTS = 60_000
 #: Bits of a sketch at most.
 SKETCH_BITS = 1 << 15
 #: Rows of one pigeonhole key beyond which it is split by its remaining bits.
@@ -281,96 +284,192 @@ def prefix_length(n, least: float):
     return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
 
 
-def _common(df: DataFrame, size: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, in order, that several texts of a sample hold, and how many do.
+def _shingled(batches: Iterator[pa.RecordBatch], shingle: int, wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, sizes, shingles) of some texts at a time, each text's shingles distinct and in order.
 
-    They only put common shingles last in the order of shingles. Any order finds every pair, so the sample decides
-    how much is compared and nothing else.
+    wanted: a broadcast bitmap of the nodes to look at; others may come along where bits collide.
     """
+    nodes, sets, held = [], [], 0
+    for batch in batches:
+        for text in batch["text"].cast(pa.large_binary()):
+            body = text.as_py() or b""
+            node = _node(_key(body))
+            at = node & (BITS - 1)
+            if wanted is not None and not wanted.value[at >> 3] >> (at & 7) & 1:
+                continue
+            nodes.append(node)
+            sets.append(np.unique(shingle_hashes(body, shingle).astype(np.uint64)))
+            held += len(sets[-1])
+            if held > HELD or len(nodes) == TEXTS:
+                yield np.array(nodes, np.int64), np.array(list(map(len, sets))), np.concatenate(sets)
+                nodes, sets, held = [], [], 0
+    if nodes:
+        yield np.array(nodes, np.int64), np.array(list(map(len, sets))), np.concatenate(sets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [np.unique(shingle_hashes(t.as_py() or b"", shingle).astype(np.uint64)).tobytes() for t in batch["text"].cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(blobs)], pa.binary())], ["h"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), np.uint64) for b in batches for x in b["h"]]]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([h[n > 1].tobytes()]), pa.array([n[n > 1].tobytes()])], ["h", "n"])
+def _blobs(of: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """(bucket, bytes of each column) of rows whose bucket is `of`."""
+    order = np.argsort(of, kind="stable")
+    cut = np.searchsorted(of[order], np.arange(buckets + 1))
+    columns = [c[order] for c in columns]
+    for b in range(buckets):
+        if cut[b] < cut[b + 1]:
+            yield b, *[c[cut[b] : cut[b + 1]].tobytes() for c in columns]
+
+
+_SENT = ["bucket", "uid", "h", "c", "nodes", "sizes", "sets"]
+_KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+_SCHEMA = "bucket long, uid long, h binary, c binary, nodes binary, sizes binary, sets binary"
+_SEVERAL = np.uint16(0xFFFF)
+
+
+def _aside(uid: int, buckets: int) -> int:
+    """A bucket beyond those of shingles, so that a worker's texts are spread as they pass."""
+    return buckets + ((uid >> 32) * 31 + (uid & 0xFFFFFFFF)) % buckets
+
 
-    part = df if size <= SAMPLE_BYTES else df.sample(SAMPLE_BYTES / size, 7)
-    got = part.mapInArrow(run, "h binary").repartition(1).mapInArrow(count, "h binary, n binary").first()  # of SAMPLE_BYTES of text
-    return np.frombuffer(got["h"] if got else b"", np.uint64), np.frombuffer(got["n"] if got else b"", np.int64)
+def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _SENT)
 
 
-def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The prefix of a set of sorted shingles: rare ones first."""
-    if not len(shingles):
-        return shingles
-    most, (h, n) = int(prefix_length(np.int64(len(shingles)), least)), common
-    if len(h):
-        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
-        shingles = shingles[np.argsort(np.where(h[at] == shingles, n[at], 0), kind="stable")]
-    return shingles[:most]
+def _deal(df: DataFrame, column: str) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, column).sortWithinPartitions(column)
 
 
-def _linked(df: DataFrame, size: int, shingle: int, least: float) -> DataFrame:
-    """(u, v): links that join all nodes of df (id, text) that share a shingle of their prefixes.
+def _open(df: DataFrame, buckets: int, shingle: int, least: float) -> DataFrame:
+    """(node) of texts of which fewer shingles are nobody else's than a prefix has: no other text can be similar to the rest.
 
-    Workers send, per bucket of shingles, packed arrays of a shingle and its smallest node; links within what a worker
-    holds are made there, so a shingle of very many texts is sent once a batch of entries.
+    Workers send 32 bits of each distinct shingle of a few thousand texts once, with its text if it has one only; buckets
+    of shingles tell which of these come nowhere else (where bits collide a text is let in in vain). A shingle of very many
+    texts is an entry a worker's batch.
     """
-    buckets = 16
-    while buckets * BUCKET_BYTES < size:
-        buckets *= 2
-    common = df.sparkSession.sparkContext.broadcast(_common(df, size, shingle))
-    names = ["bucket", "a", "b"]
-
-    def least_node(t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(t, kind="stable")
-        t, v = t[order], v[order]
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        low = np.minimum.reduceat(v, first)
-        each = np.repeat(low, np.diff(np.concatenate((first, [len(t)]))))
-        return t[first], low, *forest(v[v != each], each[v != each])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, owners, held = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            t, low, u, v = least_node(np.concatenate(tokens), np.concatenate(owners))
-            of = (t % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            cut = np.searchsorted(of[order], np.arange(buckets + 1))
-            out = [(b, t[order[cut[b] : cut[b + 1]]].tobytes(), low[order[cut[b] : cut[b + 1]]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
-            if len(u):  # a bucket of their own for links, spread by their number
-                out.append((buckets + int(u[0]) % buckets, u.tobytes(), v.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names)
 
-        for batch in batches:
-            for text in batch["text"].cast(pa.large_binary()):
-                body = text.as_py() or b""
-                t = _prefix(np.unique(shingle_hashes(body, shingle).astype(np.uint64)), common.value, least)
-                tokens.append(t)
-                owners.append(np.full(len(t), _node(_key(body))))
-                held += len(t)
-                if held > 1_000_000:
-                    yield from flush()
-                    tokens, owners, held = [], [], 0
-        if held:
-            yield from flush()
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for number, (nodes, sizes, sets) in enumerate(_shingled(batches, shingle)):
+            h, first, times = np.unique(sets, return_index=True, return_counts=True)
+            owner = np.where(times == 1, np.repeat(np.arange(len(nodes), dtype=np.uint16), sizes)[first], _SEVERAL).astype(np.uint16)
+            uid = task | number
+            rows = [(b, uid, x, t, None, None, None) for b, x, t in _blobs((h % np.uint64(buckets)).astype(np.int64), buckets, (h >> np.uint64(32)).astype(np.uint32), owner)]
+            rows.append((_aside(uid, buckets), uid, None, None, nodes.tobytes(), sizes.tobytes(), None))  # passes the buckets by
+            yield _rows_of(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket"):
             of = table["bucket"].to_numpy()
             for b in np.unique(of):
                 part = table.filter(pa.array(of == b))
-                x, y = (np.concatenate([np.frombuffer(z.as_py(), k) for z in part[c]]) for c, k in (("a", np.uint64), ("b", np.int64)))
+                if b >= buckets:
+                    yield from part.to_batches()
+                    continue
+                h = [np.frombuffer(x.as_py(), np.uint32) for x in part["h"]]
+                _, at, times = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+                alone = np.split(times[at] == 1, np.cumsum([len(x) for x in h])[:-1])
+                rows = []
+                for uid, c, one in zip(part["uid"].to_pylist(), part["c"], alone, strict=True):
+                    owner = np.frombuffer(c.as_py(), np.uint16)
+                    u, n = np.unique(owner[one & (owner != _SEVERAL)], return_counts=True)
+                    if len(u):
+                        rows.append((0, uid, u.tobytes(), n.astype(np.uint32).tobytes(), None, None, None))
+                del h, at
+                yield _rows_of(rows)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "uid"):
+            of = table["uid"].to_numpy()
+            for uid in np.unique(of):
+                part = table.filter(pa.array(of == uid)).to_pylist()
+                (own,) = [r for r in part if r["nodes"] is not None]
+                nodes, sizes = np.frombuffer(own["nodes"], np.int64), np.frombuffer(own["sizes"], np.int64)
+                alone = np.zeros(len(nodes), np.int64)
+                for r in part:
+                    if r["nodes"] is None:
+                        alone[np.frombuffer(r["h"], np.uint16)] += np.frombuffer(r["c"], np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[(sizes > 0) & (alone < prefix_length(sizes, least))])], ["node"])
+
+    met = _deal(df.mapInArrow(send, _SCHEMA), "bucket").mapInArrow(meet, _SCHEMA)
+    return _deal(met, "uid").mapInArrow(told, "node long").distinct()
+
+
+def least_node(t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles with their smallest node, and links that join the nodes of each shingle."""
+    order = np.argsort(t, kind="stable")
+    t, v = t[order], v[order]
+    first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))[: len(t)])
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return t, v, none, none
+    low = np.minimum.reduceat(v, first)
+    each = np.repeat(low, np.diff(np.concatenate((first, [len(t)]))))
+    return t[first], low, *forest(v[v != each], each[v != each])
+
+
+def _linked(df: DataFrame, wanted, buckets: int, shingle: int, least: float) -> DataFrame:
+    """(u, v): links that join all texts whose prefixes share a shingle; the rarest shingles come first in a prefix.
+
+    Only texts that `wanted` lets in are looked at, and how many of them hold a shingle is counted exactly, so texts that
+    share a common passage and little else don't meet. Shingles of one text link nothing and go no further.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for number, (nodes, sizes, sets) in enumerate(_shingled(batches, shingle, wanted)):
+            h, times = np.unique(sets, return_counts=True)
+            uid = task | number
+            rows = [(b, uid, x, c, None, None, None) for b, x, c in _blobs((h % np.uint64(buckets)).astype(np.int64), buckets, h, times.astype(np.uint32))]
+            rows.append((_aside(uid, buckets), uid, None, None, nodes.tobytes(), sizes.tobytes(), sets.tobytes()))
+            yield _rows_of(rows)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "bucket"):
+            of = table["bucket"].to_numpy()
+            for b in np.unique(of):
+                part = table.filter(pa.array(of == b))
+                if b >= buckets:
+                    yield from part.to_batches()
+                    continue
+                h = [np.frombuffer(x.as_py(), np.uint64) for x in part["h"]]
+                c = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in part["c"]])
+                _, at = np.unique(np.concatenate(h), return_inverse=True)
+                holders = np.bincount(at, c)[at].astype(np.uint32)
+                yield _rows_of([(0, uid, x.tobytes(), n.tobytes(), None, None, None) for uid, x, n in zip(part["uid"].to_pylist(), h, np.split(holders, np.cumsum([len(x) for x in h])[:-1]), strict=True)])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "uid"):
+            of = table["uid"].to_numpy()
+            for uid in np.unique(of):
+                part = table.filter(pa.array(of == uid)).to_pylist()
+                (own,) = [r for r in part if r["nodes"] is not None]
+                known = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["c"], np.uint32)) for r in part if r["nodes"] is None]
+                if not known:
+                    continue
+                h, n = (np.concatenate(x) for x in zip(*known, strict=True))
+                order = np.argsort(h)
+                h, n = h[order], n[order]
+                nodes, sizes, sets = (np.frombuffer(own[k], t) for k, t in (("nodes", np.int64), ("sizes", np.int64), ("sets", np.uint64)))
+                owner, holders = np.repeat(np.arange(len(nodes)), sizes), n[np.searchsorted(h, sets)]
+                order = np.lexsort((sets, holders, owner))
+                place = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                some = order[(place < prefix_length(sizes, least)[owner]) & (holders[order] > 1)]
+                t, low, u, v = least_node(sets[some], nodes[owner[some]])
+                rows = [(b, 0, x, y, None, None, None) for b, x, y in _blobs((t % np.uint64(buckets)).astype(np.int64), buckets, t, low)]
+                if len(u):  # links go to buckets of their own, spread by their number
+                    rows.append((buckets + int(u[0]) % buckets, 0, u.tobytes(), v.tobytes(), None, None, None))
+                yield _rows_of(rows)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "bucket"):
+            of = table["bucket"].to_numpy()
+            for b in np.unique(of):
+                part = table.filter(pa.array(of == b))
+                x, y = (np.concatenate([np.frombuffer(z.as_py(), k) for z in part[c]]) for c, k in (("h", np.uint64), ("c", np.int64)))
                 u, v = least_node(x, y)[2:] if b < buckets else forest(x.astype(np.int64), y)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    sent = df.mapInArrow(gather, "bucket long, a binary, b binary")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long")
+    met = _deal(df.mapInArrow(send, _SCHEMA), "bucket").mapInArrow(meet, _SCHEMA)
+    sent = _deal(met, "uid").mapInArrow(prefixes, _SCHEMA)
+    return _deal(sent, "bucket").mapInArrow(join, "u long, v long")
 
 
 def _tasks(members: DataFrame, least: float) -> DataFrame:
@@ -525,15 +624,20 @@ def _bitmap(places: DataFrame) -> np.ndarray:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, key, component) of every row: groups of texts with Jaccard similarity >= least of their word shingles.
 
-    Every pair of similar texts shares a shingle of both prefixes, so it lies in one cluster of texts that such
-    shingles join. Sketches, which lose no similar pair either, tell which texts of a cluster's tasks have a candidate
+    A text whose own shingles, that no other text holds, fill its prefix has no similar text. Every pair of similar
+    texts shares a shingle of both prefixes, so it lies in one cluster of texts that such shingles join. Sketches, which lose no similar pair either, tell which texts of a cluster's tasks have a candidate
     there; only their sets travel to the tasks, where similarity is exact. No pair is ever a row.
     A component is named by a node of it.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = 16
+    while buckets * BUCKET_BYTES < size:
+        buckets *= 2
     rows = keep(_rows(texts, shingle))
-    clusters = components(_linked(texts, size, shingle, least), "u", "v").select("node", F.col("component").alias("cluster"))
+    lets = _bitmap(_open(texts, buckets, shingle, least).select(F.col("node").bitwiseAND(BITS - 1).alias("p")))
+    wanted = df.sparkSession.sparkContext.broadcast(lets)
+    clusters = components(_linked(texts, wanted, buckets, shingle, least), "u", "v").select("node", F.col("component").alias("cluster"))
     members = keep(rows.select("node", "n", "sketch").distinct().join(clusters, "node"))
     found = _candidates(_tasks(members, least), least)
     bitmap = _bitmap(found.select(F.col("node").bitwiseAND(BITS - 1).alias("p")))  # a false bit only computes a set too many
