@@ -23,12 +23,21 @@ STOP_WORDS = ("the", "of", "a", "an", "and", "for", "to", "in", "by")
 TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "1", "x"), ("false", "f", "no", "n", "0", "")
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MMM-yyyy")
 DISPOSITIONS = {"retire": "Retire", "decommission": "Retire", "merge": "Merge", "consolidate": "Merge", "keep": "Keep", "migrate": "Migrate", "convert": "Migrate"}
-SENSITIVITY = {"public": "Public", "internal": "Internal", "confidential": "Confidential", "restricted": "Restricted"}
+SENSITIVITY = {
+    "public": "Public", "open": "Public", "unclassified": "Public", "internal": "Internal", "internal use only": "Internal",
+    "company confidential": "Confidential", "confidential": "Confidential", "sensitive": "Confidential", "pii": "Confidential",
+    "restricted": "Restricted", "highly confidential": "Restricted", "secret": "Restricted",
+}
 SENSITIVITY_RANK = {"public": 0.0, "internal": 0.35, "confidential": 0.7, "restricted": 1.0}
 CADENCE_MONTHS = {"monthly": 1, "quarterly": 3, "semi-annual": 6, "annual": 12, "yearly": 12}
 HALF_LIFE_MONTHS, DAYS_A_MONTH, UNKNOWN_MONTHS = 6.0, 30.44, 24.0
 
 
+def let(x: Column, then) -> Column:
+    """then(x), with x worked out once however often it is used: the lambda's variable is a value."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def _lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
@@ -41,9 +50,9 @@ def strip_accents(c: Column) -> Column:
 
 
 def normalize_identifier(c: Column) -> Column:
-    """Trimmed, without outer quotes, brackets and backticks, lower case, no accents."""
+    """Trimmed, without outer quotes, brackets and backticks (in this order), lower case, no accents."""
     out = F.trim(strip_accents(c))
-    for quote in ('"', "'", "`", "[", "]"):
+    for quote in ('"', "'", "[", "]", "`"):
         out = F.trim(out, F.lit(quote))
     return F.lower(out)
 
@@ -66,12 +75,18 @@ def snake_case(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    return F.initcap(F.array_join(tokens(c), " "))
+    """Words capitalised; a text without words stays as it is."""
+    joined = F.initcap(F.array_join(tokens(c), " "))
+    return F.when(joined == "", c).otherwise(joined)
+
+
+# Words whose last s is no plural's.
+PLURAL_KEEP = ("days", "sales", "series", "status", "basis", "analysis", "process")
 
 
-def label_key(c: Column, keep: tuple[str, ...] = ("gross", "status", "loss", "basis", "process", "access", "business")) -> Column:
-    """token_key with plural s folded."""
-    fold = lambda w: F.when(w.endswith("s") & (F.length(w) > 3) & ~w.endswith("ss") & ~w.isin(*keep), F.regexp_replace(w, "s$", "")).otherwise(w)
+def label_key(c: Column) -> Column:
+    """token_key with plural s folded; days is day."""
+    fold = lambda w: F.when(w == "days", "day").when(w.endswith("s") & (F.length(w) > 3) & ~w.endswith("ss") & ~w.isin(*PLURAL_KEEP), F.regexp_replace(w, "s$", "")).otherwise(w)
     return F.array_join(F.array_sort(F.transform(tokens(c), fold)), " ")
 
 

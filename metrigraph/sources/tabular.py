@@ -1,4 +1,4 @@
-"""Tabular extracts: reading by suffix, workbooks without a library, contract detection, column mapping."""
+"""Tabular extracts: reading and writing by suffix, workbooks without a library."""
 
 from __future__ import annotations
 
@@ -8,47 +8,10 @@ import zipfile
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Required and optional fields of the input contracts.
-CONTRACTS = {
-    "cognos_rationalization": ("report_id report_name folder_path fm_package owner business_unit run_count_90d run_count_12m distinct_users_12m last_run_date disposition", "schedule_flag schedule_frequency redundancy_cluster_id complexity_score decision_critical"),
-    "cognos_kpi_lineage": ("kpi_id kpi_label report_id fm_package query_subject query_item calculation_expression aggregation_type source_system database schema table column", "filter_expression column_role usage_rank cross_report_count expression_language measure_scope"),
-    "powerbi_inventory": ("report_id report_name workspace semantic_model owner business_unit view_count_12m distinct_users_12m last_viewed_date", "view_count_90d app_name storage_mode refresh_schedule disposition certified"),
-    "powerbi_measure_lineage": ("measure_id measure_name semantic_model dax_expression source_system source_database source_schema source_table source_column", "report_id model_id measure_scope workspace model_table model_column aggregation_type filter_expression column_role storage_mode"),
-    "collibra_metadata": ("system database schema table column data_domain data_owner data_steward classification pii_flag", "business_term definition sub_domain data_type nullable primary_key foreign_key system_of_record certification_status quality_score lifecycle_status sunset_date successor_system row_count"),
-    "catalog_lineage": ("src_table tgt_table", "src_system src_database src_schema src_column tgt_system tgt_database tgt_schema tgt_column level transformation"),
-    "business_glossary": ("term", "definition term_id domain sub_domain steward status"),
-    "alation_metadata": ("ds_name schema_name table_name column_name custom_field_domain steward", "db_name sensitivity_label data_owner title description custom_field_sub_domain type_name pii is_nullable is_pk fk_target source_of_record endorsement data_health_score lifecycle_stage row_estimate"),
-}
-MEMBER_BYTES, RATIO = 64 << 20, 200
-
-
-def header(name: str) -> str:
-    return re.sub(r"\s+", "_", str(name).strip().lower())
-
 
-def suggest_contract(columns: list[str], sheet: str = "") -> tuple[str | None, float]:
-    """Best contract and its score: (2 * required + optional hits) / total; a tab named for a contract gains."""
-    have = {header(c) for c in columns}
-    best: tuple[str | None, float] = (None, 0.0)
-    for name, (required, optional) in CONTRACTS.items():
-        req, opt = required.split(), optional.split()
-        score = (2 * len(have & {*req}) + len(have & {*opt})) / (2 * len(req) + len(opt))
-        if header(sheet) == name and score >= 0.25:
-            score = min(1.0, max(score, 0.5) + 0.5)
-        if score > best[1]:
-            best = (name, score)
-    return best
+from metrigraph.sources.contracts import header
 
-
-def map_columns(df: DataFrame, contract: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """df with the contract's fields in order, missing ones null; aliases: header -> field."""
-    by = {header(c): c for c in df.columns}
-    for alias, field in (aliases or {}).items():
-        by.setdefault(field, by.get(header(alias), ""))
-    fields = " ".join(CONTRACTS[contract]).split()
-    return df.select(*[(F.col(f"`{by[f]}`") if by.get(f) else F.lit(None).cast("string")).alias(f) for f in fields])
+MEMBER_BYTES, RATIO = 64 << 20, 200
 
 
 def load(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -102,3 +65,40 @@ def read_workbook(body: bytes) -> dict[str, list[list[str | None]]]:
             rows.append(cells)
         out[s.get("name")] = rows
     return out
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """df's columns, in this order, as one csv file with a header: for registers that people read."""
+    df.select(*(columns or df.columns)).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_workbook(sheets: dict[str, list[list]]) -> bytes:
+    """A workbook of rows; texts are written inline, numbers and booleans as such."""
+    import io
+    from xml.sax.saxutils import escape
+
+    def cell(v: object) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f"<c><v>{v!r}</v></c>"
+        plain = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(plain)}</t></is></c>'
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    pack = "http://schemas.openxmlformats.org/package/2006"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{pack}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        names = "".join(f'<sheet name="{escape(n[:31], {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pack}/relationships">{links}</Relationships>')
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
