@@ -24,7 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrigraph.llm._graph import keep
+from metrigraph.functions.scalars import let
+from metrigraph.storage import keep
+
 
 _WORDS = ("password", "passwd", "secret", "token")
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -45,11 +47,6 @@ PIECE = 4096
 _NONE = "array<struct<start:int,kind:int,end:int,hash:bigint>>"
 
 
-def let(x: Column, then) -> Column:
-    """then(x), with x worked out once however often it is used: the lambda's variable is a value."""
-    return F.element_at(F.transform(F.array(x), then), 1)
-
-
 def running(x: Column) -> Column:
     """Running sums of an array<int>."""
 

@@ -37,8 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrigraph.llm._graph import components, forest, fresh, keep
+from metrigraph.llm._graph import components, forest
 from metrigraph.llm._text import whole_groups
+from metrigraph.storage import fresh, keep
 
 #: Fingerprints in one block of planes; queries that go through a block together.
 BLOCK, TOGETHER = 8192, 64

@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrigraph.llm._graph import components, forest, keep
+from metrigraph.llm._graph import components, forest
 from metrigraph.llm._text import whole_groups
 from metrigraph.llm.simhash import NO_ID
+from metrigraph.storage import keep
 
 #: Rows of a strip that meet in one task at once; blocks of dimensions; rows of the sample for the rotation.
 CHUNK, BLOCKS, SAMPLE = 4096, 4, 2000
