@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +13,28 @@ GENESIS = ""
 
 
 def seal(df: DataFrame, chain: str, order: list[str], body: Column) -> DataFrame:
-    """row_hash = sha256(previous hash, body), chained in order within each chain.
+    """(chain, position, *order, body, prev_hash, row_hash): each row's hash is over the one before and its body.
 
-    A chain is sequential by nature: its rows fold in one task, as hashes of one array.
+    A chain is sequential by nature: its rows pass one task in order, which keeps the last hash only.
     """
-    item = F.struct(*order, body.alias("_b"))
-    rows = df.groupBy(chain).agg(F.sort_array(F.collect_list(item)).alias("rows"))
-
-    def step(acc: Column, r: Column) -> Column:
-        h = F.sha2(F.concat_ws("|", acc["prev"], r["_b"]), 256)
-        return F.struct(h.alias("prev"), F.concat(acc["out"], F.array(F.struct(r.alias("r"), acc["prev"].alias("prev_hash"), h.alias("row_hash")))).alias("out"))
-
-    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.select(item.alias("i")).schema["i"].dataType.fields)
-    kind = f"array<struct<r: struct<{fields}>, prev_hash: string, row_hash: string>>"
-    out = F.aggregate("rows", F.struct(F.lit(GENESIS).alias("prev"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
-    return rows.select(chain, F.posexplode(out).alias("position", "o")).select(chain, "position", *[F.col(f"o.r.{c}").alias(c) for c in order], F.col("o.r._b").alias("body"), "o.prev_hash", "o.row_hash")
+    rows = df.select(chain, *order, body.alias("body")).repartition(chain).sortWithinPartitions(chain, *order, "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, place, last = object(), 0, GENESIS
+        for batch in batches:
+            positions, before, hashes = [], [], []
+            for key, text in zip(batch[chain].to_pylist(), batch["body"].to_pylist(), strict=True):
+                if key != of:
+                    of, place, last = key, 0, GENESIS
+                positions.append(place)
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                hashes.append(last)
+                place += 1
+            yield pa.RecordBatch.from_arrays([batch[chain], pa.array(positions, pa.int32()), *[batch[c] for c in order], batch["body"], pa.array(before, pa.string()), pa.array(hashes, pa.string())], [chain, "position", *order, "body", "prev_hash", "row_hash"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, ", ".join([f"`{chain}` {kinds[chain]}", "position int", *[f"`{c}` {kinds[c]}" for c in order], "body string", "prev_hash string", "row_hash string"]))
 
 
 def verify(ledger: DataFrame, chain: str, order: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,12 +72,34 @@ def stability(now: DataFrame, before: DataFrame, name: str, member: str) -> Data
     return bs.join(best, "y", "left").select(F.col("y").alias(name), F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
+def inversions(values: np.ndarray) -> int:
+    """Pairs in the wrong order, by merging sorted halves."""
+    total, width, x = 0, 1, np.asarray(values)
+    while width < len(x):
+        out = x.copy()
+        for at in range(0, len(x), 2 * width):
+            left, right = x[at : at + width], x[at + width : at + 2 * width]
+            total += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            out[at : at + len(left) + len(right)] = np.sort(np.concatenate((left, right)), kind="stable")
+        x, width = out, 2 * width
+    return total
+
+
 def kendall_tau(ranks: DataFrame, a: str, b: str, key: str) -> DataFrame:
-    """Concordant minus discordant pairs over all pairs of a (small) ranking."""
-    x = ranks.select(F.col(key).alias("k1"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    y = ranks.select(F.col(key).alias("k2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    pairs = x.join(y, F.col("k1") < F.col("k2"))
-    return pairs.agg((F.sum(F.signum((F.col("a1") - F.col("a2")) * (F.col("b1") - F.col("b2")))) / F.count("*")).alias("tau"))
+    """(tau): concordant minus discordant over all pairs of two rankings without ties, in n log n.
+
+    One row a candidate; they meet in one task, as two ranks each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [x for x in batches if len(x)]
+        if held:
+            x = pd.concat(held).sort_values(a)
+            n = len(x)
+            pairs = n * (n - 1) // 2
+            yield pd.DataFrame({"tau": [(pairs - 2 * inversions(x[b].to_numpy())) / pairs if pairs else None]})
+
+    return ranks.select(key, a, b).repartition(1).mapInPandas(run, "tau double")
 
 
 def conflicts(items: DataFrame, key: str, blocks: str, differs: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrigraph.functions.scalars import log_ratio
+from metrigraph.storage import keep
 
 DIMENSIONS = {"demand": 0.35, "consolidation": 0.30, "feasibility": 0.25, "risk": -0.10}
 SIZES = ((12, "XS"), (24, "S"), (45, "M"), (75, "L"))
@@ -56,8 +57,8 @@ def npv(benefit: Column, cost: Column) -> Column:
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """One row: the element n/2 (from 0) of the sorted values."""
-    return df.agg(F.element_at(F.array_sort(F.collect_list(column)), (F.floor(F.count(column) / 2) + 1).cast("int")).alias(f"{column}_median"))
+    """One row: the element n/2 (from 0) of the sorted values: the discrete median from above."""
+    return df.agg(F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)").alias(f"{column}_median"))
 
 
 def quadrants(df: DataFrame, value: str, effort: str) -> DataFrame:
@@ -71,3 +72,13 @@ def quadrants(df: DataFrame, value: str, effort: str) -> DataFrame:
 def rank_by(df: DataFrame, score: Column, tie: str, group: list[str] | None = None) -> DataFrame:
     order = (Window.partitionBy(*group) if group else Window).orderBy(score.desc(), tie)
     return df.withColumn("rank", F.row_number().over(order))
+
+
+def rank_all(df: DataFrame, score: Column, tie: str) -> DataFrame:
+    """df with its rank over all rows, without one task that sorts them: ranges are sorted apart, and each adds the number
+    of rows before it. The sorted rows are written once, as ranges of a second sort could be cut elsewhere."""
+    at = keep(df.orderBy(score.desc(), tie).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))  # one row a range
+    return at.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("rank", (F.col("_before") + place + 1)).select(*df.columns, "rank")

@@ -437,7 +437,7 @@ def remediation_units(spark, d):
     u = table(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("errors"))
     s = u.crossJoin(F.broadcast(u.agg(F.sum("errors").alias("total")))).withColumn("share", F.col("errors") / F.col("total"))  # one row
     s = s.withColumn("priority", F.when(F.col("share") >= 0.05, "high").when((F.col("share") >= 0.01) | (F.col("errors") >= 10), "medium").otherwise("low"))
-    return scoring.rank_by(s, F.col("errors"), "user_id").select("user_id", "errors", _r("share").alias("share"), "priority", F.col("rank"))
+    return scoring.rank_all(s, F.col("errors"), "user_id").select("user_id", "errors", _r("share").alias("share"), "priority", "rank")
 
 
 @query(f"WITH {LAST} SELECT c_custkey, last, coalesce(n, 0) AS n FROM l WHERE last IS NULL OR last < DATE '2000-06-01'")

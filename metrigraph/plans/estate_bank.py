@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrigraph.estate import candidates, dq, grain, graph, metrics, scores
+from metrigraph.estate import candidates, dq, governance, grain, graph, metrics, programme, scores
 from metrigraph.functions import scalars as S
 from metrigraph.functions.expressions import parse_expression
 from metrigraph.operators import resolve
-from metrigraph.plans import estate
+from metrigraph.plans import estate, named
 from metrigraph.plans.estate import AS_OF, raw, raw_sql
 from metrigraph.sources import adapters, validate
 from metrigraph.storage import keep
@@ -462,9 +462,10 @@ def generated_candidates(spark, sf):
 
 @once("candidates")
 def _by_domain(spark, sf):
-    """One candidate a domain: what belongs to it can be said in SQL."""
+    """One candidate a domain, and one of all metrics: what belongs to them can be said in SQL."""
     g, m = _built(spark, sf)
     own = m.metrics.where("domain <> ''").select(F.concat(F.lit("C-"), "domain").alias("candidate_id"), "metric_id", "grain")
+    own = own.union(m.metrics.select(F.lit("C-All"), "metric_id", "grain"))
     none = F.array().cast("array<string>")
     mode = grain.finest(own, ["candidate_id"], "grain", g.backbone)
     heads = mode.select("candidate_id", F.lit("community").alias("origin"), F.col("candidate_id").alias("community"), "grain", F.lit("").alias("parent_candidate_id"), none.alias("depends_on"), F.lit("").alias("name_hint"), F.lit(0).cast("long").alias("reuse"))
@@ -472,7 +473,7 @@ def _by_domain(spark, sf):
     return g, m, w, candidates.assemble(heads, own.select("candidate_id", "metric_id"), m, g, w, keep)
 
 
-CAND = f"""{NODES}, {DOMAINS}, member AS (SELECT 'C-' || domain AS candidate_id, head FROM mdomain), mrep AS (SELECT m.head, k.report_id FROM keyed k JOIN metric m USING (key) GROUP BY ALL), total AS (SELECT report_id, count(*) AS n FROM mrep GROUP BY 1),
+CAND = f"""{NODES}, {DOMAINS}, member AS (SELECT 'C-' || domain AS candidate_id, head FROM mdomain UNION ALL SELECT 'C-All', head FROM metric), mrep AS (SELECT m.head, k.report_id FROM keyed k JOIN metric m USING (key) GROUP BY ALL), total AS (SELECT report_id, count(*) AS n FROM mrep GROUP BY 1),
 cover AS (SELECT candidate_id, report_id, count(*) AS covered, any_value(total.n) AS n FROM member JOIN mrep USING (head) JOIN total USING (report_id) GROUP BY ALL)"""
 _W = WEIGHTS
 
@@ -520,3 +521,122 @@ def missing_evidence(spark, sf):
     """Features without evidence: none may leave the scorer."""
     g, m, w, c = _by_domain(spark, sf)
     return scores.missing_evidence(scores.features(scores.raw_features(c, m, g, w)), scores.evidence(c, m, w))
+
+
+# --- named queries, programme, governance -------------------------------------------------------------------------
+
+
+@once("run")
+def _run(spark, sf):
+    """Tables of a whole run, for the named queries."""
+    g, m, w, c = _by_domain(spark, sf)
+    s = keep(scores.score(c, m, g, w, keep))
+    effort = keep(programme.estimate_effort(programme.effort_drivers(c, m, g)))
+    return {"candidate": c.heads, "member": c.members, "score": s, "report": c.reports, "consumer": c.consumers, "source": c.sources, "metric": m.metrics, "variant": m.members, "conflict": m.conflicts, "edge": g.edges, "column": g.columns, "quarantine": g.quarantine, "inventory": g.reports, "evidence": scores.evidence(c, m, w), "effort": effort}
+
+
+def _named(name, **params):
+    return lambda spark, sf: named.run(spark, _run(spark, sf), name, **params)
+
+
+_LONG_AGO = f"DATE '{AS_OF}' - INTERVAL 365 DAY"
+_NAMED = {
+    "candidate_ranking": {"limit": 100},
+    "retirement_ranking": {"limit": 100},
+    "conflicts_by_label": {"label": "cost", "limit": 100},
+    "candidate_detail": {"candidate_id": "C-Domain 1"},
+    "candidate_metrics": {"candidate_id": "C-Domain 1"},
+    "evidence_for_feature": {"candidate_id": "C-Domain 1", "feature": "usage_weight", "limit": 100},
+    "metric_search": {"term": "revenue", "limit": 100},
+    "blocked_candidates": {},
+}
+for _name, _params in _NAMED.items():
+    _QUERIES[f"nq_{_name}"] = _named(_name, **_params)
+
+
+@query(f"SELECT table_fqn, 'erp' AS system, share_of_metrics FROM ({_SQL['candidate_sources']}) WHERE candidate_id = 'C-Domain 1'")
+def nq_candidate_sources(spark, sf):
+    return named.run(spark, _run(spark, sf), "candidate_sources", candidate_id="C-Domain 1").select("table_fqn", "system", _r("share_of_metrics").alias("share_of_metrics"))
+
+
+@query(f"SELECT business_unit, users, report_count, scheduled_share, cadence FROM ({_SQL['candidate_consumers']}) WHERE candidate_id = 'C-Domain 1'")
+def nq_candidate_consumers(spark, sf):
+    return named.run(spark, _run(spark, sf), "candidate_consumers", candidate_id="C-Domain 1").withColumn("scheduled_share", _r("scheduled_share"))
+
+
+@query(f"WITH {NODES}, {DOMAINS}, {COLS}, mine AS (SELECT DISTINCT r.column_fqn FROM mdomain JOIN metric USING (head) JOIN keyed k USING (key) JOIN resolved r USING (kpi_id) WHERE domain = 'Domain 1' AND r.column_fqn IS NOT NULL) SELECT column_fqn, classification AS sensitivity, pii_flag, business_term FROM mine JOIN in_columns USING (column_fqn) WHERE pii_flag OR classification IN ('Confidential', 'Restricted')")
+def nq_sensitive_attributes(spark, sf):
+    return named.run(spark, _run(spark, sf), "candidate_sensitive_attributes", candidate_id="C-Domain 1").drop("steward")
+
+
+@query(f"WITH {RESOLVED} SELECT reason, count(*) AS rows_affected FROM resolved WHERE reason IS NOT NULL GROUP BY 1")
+def nq_gap_list(spark, sf):
+    x = named.run(spark, _run(spark, sf), "gap_list")
+    return x.groupBy(_unknown(F.col("reason")).alias("reason")).agg(F.sum("rows_affected").alias("rows_affected"))
+
+
+@query(f"WITH {REPORTS} SELECT report_id, report_name, business_unit, owner, run_count_12m, distinct_users_12m, last_run_date FROM in_reports WHERE last_run_date IS NULL OR last_run_date < {_LONG_AGO} ORDER BY run_count_12m DESC, report_id LIMIT 50")
+def nq_zombie_reports(spark, sf):
+    return named.run(spark, _run(spark, sf), "zombie_reports", cutoff=AS_OF.replace(year=AS_OF.year - 1), limit=50)
+
+
+_HOLD = "(decision_critical OR regexp_matches(report_name, '\\b(Regulatory|Statutory|Filing|Submission)\\b'))"
+
+
+@query(f"WITH {_W}, {CAND}, r AS (SELECT c.*, i.disposition, i.report_name, i.decision_critical, i.distinct_users_12m FROM cover c JOIN in_reports i USING (report_id)) SELECT candidate_id, count_if(covered = n) AS \"full\", count_if(covered < n) AS partial, count_if(covered = n AND NOT {_HOLD} AND disposition <> 'Keep') AS retirable, count_if(covered = n AND {_HOLD}) AS held, coalesce(sum(CASE WHEN covered = n AND NOT {_HOLD} AND disposition <> 'Keep' THEN distinct_users_12m END), 0)::BIGINT AS users FROM r GROUP BY 1")
+def retirement_map(spark, sf):
+    r = _run(spark, sf)
+    return programme.retirement_map(r["report"], programme.attribute_reports(r["report"], r["score"])).drop("attributed")
+
+
+@query(f"WITH {_W}, {CAND}, r AS (SELECT DISTINCT report_id, i.disposition, {_HOLD} AS hold FROM cover c JOIN in_reports i USING (report_id) WHERE covered = n) SELECT disposition, count(*) AS reports, count_if(hold) AS held FROM r GROUP BY 1")
+def estate_retirement(spark, sf):
+    return programme.estate_retirement(_run(spark, sf)["report"])
+
+
+@query(f"WITH {CAND}, q AS (SELECT kpi_id, count(*) AS n FROM resolved WHERE column_fqn IS NULL GROUP BY 1) SELECT candidate_id, count(*) AS metric_count, count_if(opaque) AS opaque_metrics, coalesce(sum(lost), 0)::BIGINT AS quarantined_lineage_rows FROM member JOIN (SELECT head, opaque, (SELECT sum(q.n) FROM keyed k JOIN q USING (kpi_id) WHERE k.key = metric.key) AS lost FROM metric) USING (head) GROUP BY 1")
+def effort_drivers(spark, sf):
+    g, m, w, c = _by_domain(spark, sf)
+    return programme.effort_drivers(c, m, g).select("candidate_id", "metric_count", "opaque_metrics", "quarantined_lineage_rows")
+
+
+@query()
+def candidate_effort(spark, sf):
+    return _run(spark, sf)["effort"]
+
+
+@query()
+def candidate_value(spark, sf):
+    """Five benefits of each candidate, its build cost, payback and net present value."""
+    g, m, w, c = _by_domain(spark, sf)
+    r = _run(spark, sf)
+    return programme.value(c, m, g, r["score"], r["effort"])
+
+
+@query()
+def candidate_dependencies(spark, sf):
+    g, m, w, c = _by_domain(spark, sf)
+    return programme.dependencies(c, m, _run(spark, sf)["score"])
+
+
+_STEPS = ", ".join(f"('{s}', '{d_}', '{t_ or s}')" for (s, d_), t_ in governance.TRANSITIONS.items())
+
+
+@query(f"SELECT o_orderkey, coalesce(v.t, 'refused') AS new_status FROM (SELECT o_orderkey, (['Blocked', 'Exploratory', 'Proposed', 'Accepted', 'Rejected', 'Merged', 'Deferred'])[o_orderkey % 7 + 1] AS s, (['Accept', 'AcceptWithException', 'Reject', 'Merge', 'Defer', 'Split', 'Override', 'Reverse'])[o_custkey % 8 + 1] AS d FROM orders) x LEFT JOIN (VALUES {_STEPS}) v(s, d, t) ON x.s = v.s AND x.d = v.d")
+def decision_outcomes(spark, sf):
+    """The state machine over a decision for each order."""
+    pick = lambda c, words: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.col(c), F.lit(len(words))) + 1).cast("int"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", pick("o_orderkey", governance.STATUS_ORDER).alias("status"), pick("o_custkey", ("Accept", "AcceptWithException", "Reject", "Merge", "Defer", "Split", "Override", "Reverse")).alias("decision"))
+    return governance.next_statuses(o).select("o_orderkey", F.coalesce("new_status", F.lit("refused")).alias("new_status"))
+
+
+@query("SELECT o_custkey, 'LIN-' || upper(substr(sha256(string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) || '||' || min(o_orderstatus)), 1, 12)) AS lineage_id FROM orders GROUP BY 1")
+def lineage_ids(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"), F.min("o_orderstatus").alias("g"))
+    return o.select("o_custkey", governance.lineage_id(F.col("p"), F.col("g")).alias("lineage_id"))
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1")
+def latest_decisions(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return governance.latest(o, "o_custkey", "o_orderkey")
