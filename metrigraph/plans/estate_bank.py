@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrigraph.estate import candidates, dq, governance, grain, graph, metrics, programme, scores
+from metrigraph.estate import candidates, dq, governance, grain, graph, metrics, portfolio, programme, scores, weights
 from metrigraph.functions import scalars as S
 from metrigraph.functions.expressions import parse_expression
 from metrigraph.operators import resolve
@@ -640,3 +640,56 @@ def lineage_ids(spark, sf):
 def latest_decisions(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     return governance.latest(o, "o_custkey", "o_orderkey")
+
+
+# --- portfolio ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_W}, {NODES}, {TERMED}, z AS (SELECT avg((run_count_12m > 0 AND coalesce(date_diff('day', last_run_date, DATE '{AS_OF}'), 9999) > 365)::INT) AS v FROM in_reports) SELECT 'duplication_ratio' AS kpi, round(1 - (SELECT count(*) FROM metric) / (SELECT count(*) FROM node), 6) AS value UNION ALL SELECT 'parse_rate', round((SELECT avg((k <> 6)::INT) FROM node), 6) UNION ALL SELECT 'lineage_resolution', round((SELECT avg((coalesce(confidence, 0) >= 0.8)::INT) FROM resolved), 6) UNION ALL SELECT 'opaque_share', round((SELECT avg(opaque::INT) FROM metric), 6) UNION ALL SELECT 'definition_coverage', round((SELECT avg((business_term <> '' AND def <> '')::INT) FROM termed), 6) UNION ALL SELECT 'zombie_share', round((SELECT v FROM z), 6)")
+def estate_kpis(spark, sf):
+    g, m, *_ = _by_domain(spark, sf)
+    x = portfolio.estate_kpis(g, m, _rows(spark, sf), as_of())
+    return x.where(F.col("kpi").isin("duplication_ratio", "parse_rate", "lineage_resolution", "opaque_share", "definition_coverage", "zombie_share")).select("kpi", _r("value").alias("value"))
+
+
+@once("rows")
+def _rows(spark, sf):
+    return keep(_resolved(spark, sf).select("kpi_id", "confidence"))
+
+
+@query()
+def estate_against_bands(spark, sf):
+    g, m, *_ = _by_domain(spark, sf)
+    return portfolio.compare_to_bands(portfolio.estate_kpis(g, m, _rows(spark, sf), as_of()))
+
+
+@query(f"WITH {RESOLVED}, u AS (SELECT CASE WHEN reason = 'NO_CATALOG_TABLE' THEN 'table' ELSE 'column' END AS unit, count(*) AS n FROM resolved WHERE reason IS NOT NULL GROUP BY 1) SELECT unit, n::BIGINT AS rows FROM u")
+def remediation_by_unit(spark, sf):
+    """Unresolved lineage in units that one person can mend, summed by kind."""
+    g, m, w, c = _by_domain(spark, sf)
+    x = portfolio.remediation_plan(g, m, c, w).where("unit in ('table', 'column')")
+    return x.groupBy("unit").agg(F.sum("rows").alias("rows"))
+
+
+@query()
+def stakeholder_map(spark, sf):
+    g, m, w, c = _by_domain(spark, sf)
+    x = portfolio.stakeholders(c, g, m)
+    return x.withColumn("roles", joined("roles"))
+
+
+@query()
+def stewardship_register(spark, sf):
+    return portfolio.stewardship_register(_built(spark, sf)[1])
+
+
+@query()
+def candidate_findings(spark, sf):
+    g, m, w, c = _by_domain(spark, sf)
+    return portfolio.critique(c, _run(spark, sf)["score"], scores.raw_features(c, m, g, w))
+
+
+@query()
+def rank_sensitivity(spark, sf):
+    """Ranks of the candidates under forty weight vectors."""
+    return weights.rank_sensitivity(_run(spark, sf)["score"], dict(scores.DIMENSIONS))
