@@ -173,7 +173,7 @@ def verify(rows: DataFrame) -> DataFrame:
     def again(body: pd.Series, before: pd.Series) -> pd.Series:
         return body.combine(before, lambda b, p: row_hash(json.loads(b), p))
 
-    body = F.to_json(F.struct(*[F.coalesce(F.col(f), F.lit("")) if f != "decision_id" else F.col(f) for f in fields]))
+    body = F.to_json(F.struct("decision_id", *[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields[1:]]))
     order = Window.orderBy("decision_id")  # one ledger: a row a human decision
     x = rows.withColumn("now", again(body, F.col("prev_hash"))).withColumn("was", F.coalesce(F.lag("row_hash").over(order), F.lit("")))
     broken = (F.col("now") != F.col("row_hash")) | (F.col("was") != F.col("prev_hash"))
