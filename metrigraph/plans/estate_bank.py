@@ -152,7 +152,7 @@ SELECT * FROM (SELECT 'error' AS severity, 'NO_KPI_LINEAGE' AS code, 0 AS affect
 
 @query(f"SELECT severity, code, affected FROM ({_ISSUES})")
 def validation_issues(spark, sf):
-    return validate.issues(estate.bundle(spark, sf))
+    return validate.issues(estate.stored(estate.bundle(spark, sf)))
 
 
 @query(f"WITH {REPORTS}, {KPIS}, {COLS}, n AS (SELECT 'reports' AS input, count(*) AS actual FROM in_reports UNION ALL SELECT 'kpi_rows', count(*) FROM in_kpis UNION ALL SELECT 'catalog_columns', count(*) FROM in_columns), e AS (SELECT * FROM (VALUES ('reports', 1000), ('kpi_rows', 60000), ('catalog_columns', 1000)) v(input, expected)) SELECT input, expected::BIGINT AS expected, actual, round(abs(actual - expected) / expected, 6) AS drift, abs(actual - expected) / expected <= 0.005 AS within_tolerance FROM n JOIN e USING (input)")
@@ -216,12 +216,12 @@ _ALL_RULES = f"WITH {REPORTS}, {KPIS}, {COLS}, {GLOSS} SELECT input, rule_id, ch
 @query(_ALL_RULES)
 def estate_dq(spark, sf):
     """All 31 rules of the extracts."""
-    return dq.scorecard(estate.bundle(spark, sf)).select("input", "rule_id", "checked", "failed", _r("share").alias("share"), "result")
+    return dq.scorecard(estate.stored(estate.bundle(spark, sf))).select("input", "rule_id", "checked", "failed", _r("share").alias("share"), "result")
 
 
 @query(f"SELECT input, count(*) AS rules, count_if(result = 'pass') AS passed, count_if(result = 'warn') AS warned, count_if(result = 'fail') AS failed FROM ({_ALL_RULES}) GROUP BY input")
 def dq_summary(spark, sf):
-    return dq.summary(dq.scorecard(estate.bundle(spark, sf)))
+    return dq.summary(dq.scorecard(estate.stored(estate.bundle(spark, sf))))
 
 
 # --- the graph ---------------------------------------------------------------------------------------------------
@@ -305,7 +305,7 @@ def _unknown(reason):
 def _resolved(spark, sf):
     e = estate.bundle(spark, sf)
     kpis, columns, lineage = keep(e.kpis), keep(e.columns), keep(e.lineage)
-    return resolve.extend_upstream(resolve.resolve(kpis, columns, lineage, keep=keep), columns, lineage)
+    return resolve.extend_upstream(keep(resolve.resolve(kpis, columns, lineage, keep=keep)), columns, lineage)
 
 
 @query(f"WITH {RESOLVED} SELECT kpi_id, \"table\", \"column\", column_fqn, er_rule, confidence, reason FROM resolved")
