@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from metrigraph.estate import grain as G
 from metrigraph.functions import scalars as S
-from metrigraph.functions.expressions import parse_expression
+from metrigraph.functions.expressions import parse_distinct
 from metrigraph.operators import resolve as R
 from metrigraph.operators.relational import majority
 from metrigraph.sources.validate import Bundle
@@ -145,7 +145,7 @@ def kpi_rows(bundle: Bundle, manual: DataFrame | None = None, keep=lambda df: df
     An expression is parsed once for each distinct text, a reference resolved once for each distinct spelling.
     """
     k = bundle.kpis.withColumn("raw_reference", raw_reference("source_system", "database", "schema", "table", "column"))
-    parsed = k.select("calculation_expression", "aggregation_type").distinct().withColumn("parsed", parse_expression("calculation_expression", "aggregation_type"))
+    parsed = parse_distinct(k, "calculation_expression", "aggregation_type")
     k = k.join(parsed, ["calculation_expression", "aggregation_type"])
     k = k.withColumn("role", role_of(F.col("column_role"), F.col("column"), F.col("filter_expression"), F.col("calculation_expression"), F.col("parsed.filter_columns")))
     out = R.resolve(k, bundle.columns, bundle.lineage, manual, keep)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from metrigraph.estate import candidates, dq, governance, grain, graph, metrics, portfolio, programme, scores, weights
 from metrigraph.functions import scalars as S
-from metrigraph.functions.expressions import parse_expression
+from metrigraph.functions.expressions import parse_distinct
 from metrigraph.operators import resolve
 from metrigraph.plans import estate, named
 from metrigraph.plans.estate import AS_OF, raw, raw_sql
@@ -328,16 +328,16 @@ _K = "regexp_extract(kpi_id, '([0-9]+)$', 1)::INT"
 )
 def parse_expressions(spark, sf):
     """Each distinct calculation of the estate, in both dialects."""
-    e = adapters.kpis(raw(spark, sf, "kpis")).select("calculation_expression", "aggregation_type").distinct()
-    p = e.select(F.col("calculation_expression").alias("expression"), parse_expression("calculation_expression", "aggregation_type").alias("p"))
+    e = parse_distinct(adapters.kpis(raw(spark, sf, "kpis")), "calculation_expression", "aggregation_type")
+    p = e.select(F.col("calculation_expression").alias("expression"), F.col("parsed").alias("p"))
     return p.select("expression", "p.status", "p.aggregation", joined("p.operands").alias("operands"), joined("p.filter_columns").alias("filter_columns"), "p.null_rule").distinct()
 
 
 @query(f"WITH {KPIS}, e AS (SELECT DISTINCT {_K} AS k, regexp_extract(kpi_id, '[.]([0-9]+)[.]', 1)::INT AS s FROM in_kpis) SELECT count(DISTINCT CASE WHEN k IN (0, 1, 5) THEN s END) + count(DISTINCT CASE WHEN k = 2 THEN s END) + count(DISTINCT CASE WHEN k = 3 THEN s END) + count(DISTINCT CASE WHEN k = 4 THEN s END) + count(DISTINCT CASE WHEN k = 6 THEN s END) + count(DISTINCT CASE WHEN k = 7 THEN s END) AS fingerprints FROM e")
 def fingerprint_cross_dialect(spark, sf):
     """Sums of one column agree across dialects and filters; everything else stays apart."""
-    e = adapters.kpis(raw(spark, sf, "kpis")).select("calculation_expression", "aggregation_type").distinct()
-    return e.select(parse_expression("calculation_expression", "aggregation_type").alias("p")).agg(F.count_distinct("p.fingerprint").alias("fingerprints"))
+    e = parse_distinct(adapters.kpis(raw(spark, sf, "kpis")), "calculation_expression", "aggregation_type")
+    return e.agg(F.count_distinct("parsed.fingerprint").alias("fingerprints"))
 
 
 @query(f"WITH {KPIS} SELECT sum(n)::BIGINT AS keys FROM (SELECT count(DISTINCT list_sort(string_split_regex(lower(replace(kpi_label, ',', '')), ' +'))) AS n FROM in_kpis)")
