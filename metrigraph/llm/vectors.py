@@ -2,10 +2,10 @@
 
 Cosine >= c means squared distance <= 2 - 2c between unit vectors. A rotation spreads them over blocks of
 dimensions; if the whole distance is within its budget, the distance in some block is within that
-block's share of it. Each block is a range join: vectors are cut into strips of one rotated coordinate,
-as wide as the block's radius, so partners lie in the same or the next strip; strips meet as
-blocks of bounded size, in which numpy filters by block distance. Only what passes is verified, on the
-unrotated vectors in double precision. A pair counts in the first block whose budget it keeps, so no pair
+block's share of it. Each block is a range join over one rotated coordinate, whose partners differ by at most
+the block's radius. Vectors are stored once, in chunks sorted by strips of these coordinates; chunks whose ranges
+are near in some block are read in pairs, and within a pair strips meet, in which numpy filters by block
+distance. Only what passes is verified, on the unrotated vectors in double precision. A pair counts in the first block whose budget it keeps, so no pair
 is emitted, shuffled or counted twice: tasks return link counts and a spanning forest of their links.
 
 The rotation and the strips' axes come from the covariance of a bounded sample; they steer speed, and the
@@ -20,6 +20,7 @@ reachable. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrigraph.llm._graph import components, forest
-from metrigraph.llm._text import whole_groups
 from metrigraph.llm.simhash import NO_ID
 from metrigraph.storage import keep
 
-#: Rows of a strip that meet in one task at once; blocks of dimensions; rows of the sample for the rotation.
+#: Rows of a chunk; blocks of dimensions; rows of the sample for the rotation.
 CHUNK, BLOCKS, SAMPLE = 4096, 4, 2000
 _SLACK = 1e-6
 
@@ -60,63 +60,69 @@ def links(nodes: DataFrame, d: int, least: float, turn: np.ndarray, parts: list[
     """
     budget = (2 - 2 * least) * shares
     width = np.sqrt(budget) + 1e-9
-    spark = nodes.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = spark.sparkContext.broadcast((turn, parts, budget, width))
+    held = nodes.sparkSession.sparkContext.broadcast((turn, parts, budget, width))
 
-    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, parts, _, width = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = _stack(batch["v"], d)
-            u = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ turn
-            cells = np.stack([np.floor(u[:, s.start] / w) for s, w in zip(parts, width)], axis=1).astype(np.int64)  # noqa: B905
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["key"], batch["weight"], batch["v"], pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), len(parts)).cast(pa.list_(pa.int64()))], ["node", "key", "weight", "v", "cells"])
-
-    placed = nodes.mapInArrow(strips, "node long, key string, weight long, v array<double>, cells array<bigint>")
-    placed = keep(placed)
-    each = placed.select("node", "key", "weight", "v", F.posexplode("cells").alias("block", "cell"))
-    # Strips of more than CHUNK rows are dealt to chunks; chunk pairs meet, each row in as many as its strip and the next have.
-    sizes = each.groupBy("block", "cell").count().select("block", "cell", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    after = sizes.select("block", (F.col("cell") - 1).alias("cell"), F.col("chunks").alias("next"))
-    before = sizes.select("block", (F.col("cell") + 1).alias("cell"), F.col("chunks").alias("last"))
-    sizes = keep(sizes.join(after, ["block", "cell"], "left").join(before, ["block", "cell"], "left").na.fill(0, ["next", "last"]))
-    mine = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda side, cell, a, b, what: F.struct(F.lit(side).alias("side"), F.xxhash64("block", F.lit(what), cell, a, b).alias("task"), F.lit(what).alias("what"))
-    i = F.col("mine")
-    same = F.transform(seq(F.col("chunks")), lambda j: F.when(j == i, task(0, F.col("cell"), i, i, "own")).otherwise(F.when(i < j, task(0, F.col("cell"), i, j, "same")).otherwise(task(1, F.col("cell"), j, i, "same"))))
-    forth = F.transform(seq(F.col("next")), lambda j: task(0, F.col("cell"), i, j, "next"))
-    back = F.transform(seq(F.col("last")), lambda j: task(1, F.col("cell") - 1, j, i, "next"))
-    dealt = each.join(sizes, ["block", "cell"]).withColumn("mine", mine).select("node", "key", "weight", "v", "block", F.explode(F.concat(same, forth, back)).alias("t")).select("node", "key", "weight", "v", "block", "t.side", "t.task", (F.col("t.what") == "own").alias("own"))
+            u = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ turn[:, [s.start for s in parts]]
+            order = np.lexsort(np.floor(u / width).T[::-1])
+            for at in range(0, len(order), CHUNK):
+                mine = order[at : at + CHUNK]
+                some = lambda c: [batch[c].take(pa.array(mine))]  # noqa: B023, E731
+                keys = some("key")[0].to_pylist()
+                low, high = u[mine].min(axis=0), u[mine].max(axis=0)
+                yield pa.RecordBatch.from_pylist([{"chunk": min(keys), "node": some("node")[0].to_pylist(), "key": keys, "weight": some("weight")[0].to_pylist(), "v": np.ascontiguousarray(v[mine]).tobytes(), "low": low.tolist(), "high": high.tolist()}], schema)
+
+    schema = pa.schema([("chunk", pa.string()), ("node", pa.list_(pa.int64())), ("key", pa.list_(pa.string())), ("weight", pa.list_(pa.int64())), ("v", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+    chunks = keep(nodes.mapInArrow(pack, "chunk string, node array<bigint>, key array<string>, weight array<bigint>, v binary, low array<double>, high array<double>"))
+    # Chunks meet by reading them again: no vector is dealt out, so disk grows with the vectors and not with their square.
+    near = functools.reduce(lambda p, q: p | q, [(F.col("x.low")[i] - F.col("y.high")[i] <= float(w)) & (F.col("y.low")[i] - F.col("x.high")[i] <= float(w)) for i, w in enumerate(width)])
+    met = chunks.alias("x").hint("shuffle_replicate_nl").join(chunks.alias("y"), (F.col("x.chunk") <= F.col("y.chunk")) & near)
+    met = met.select(*[F.col(f"x.{c}").alias(f"{c}_x") for c in ("chunk", "node", "key", "weight", "v")], *[F.col(f"y.{c}").alias(f"{c}_y") for c in ("chunk", "node", "key", "weight", "v")])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, parts, budget, _ = held.value
-        for table in whole_groups(batches, "task"):
-            tasks = table["task"].to_numpy()
-            cuts = np.flatnonzero(np.concatenate(([True], tasks[1:] != tasks[:-1], [True])))
-            node, weight = table["node"].to_numpy(), table["weight"].to_numpy()
-            v = _stack(table["v"], d)
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            side, own, block = table["side"].to_numpy(), table["own"].to_numpy(), table["block"].to_numpy()
-            count, fa, fb = np.zeros(len(v), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-                rows = np.arange(a, b)
-                left = rows if own[a] else rows[side[a:b] == 0]
-                right = rows if own[a] else rows[side[a:b] == 1]
-                for x, y in _close(v, left, right, bool(own[a]), int(block[a]), turn, parts, budget, least):
-                    np.add.at(count, x, weight[y])
-                    np.add.at(count, y, weight[x])
-                    p, q = forest(node[x], node[y])
-                    fa.append(p)
-                    fb.append(q)
-            some = np.flatnonzero(count)
-            fa, fb = forest(np.concatenate(fa), np.concatenate(fb))
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), table["key"].combine_chunks().take(pa.array(some)), pa.nulls(len(some), pa.int64()), pa.array(count[some])], ["node", "key", "peer", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(fa), pa.nulls(len(fa), pa.string()), pa.array(fb), pa.array(np.zeros(len(fa), np.int64))], ["node", "key", "peer", "n"])
-
-    return dealt.repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(meet, "node long, key string, peer long, n long")
+        turn, parts, budget, width = held.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda c: batch[c][r]  # noqa: B023, E731
+                own = get("chunk_x").as_py() == get("chunk_y").as_py()
+                sides = "x" if own else "xy"
+                node, weight = (np.concatenate([get(f"{c}_{s}").values.to_numpy() for s in sides]) for c in ("node", "weight"))
+                key = pa.concat_arrays([get(f"key_{s}").values for s in sides])
+                v = np.concatenate([np.frombuffer(get(f"v_{s}").as_py()).reshape(-1, d) for s in sides])
+                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                n = len(get("node_x").values)
+                left, right = np.arange(n), np.arange(n) if own else np.arange(n, len(v))
+                count, fa, fb = np.zeros(len(v), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for block in range(len(parts)):
+                    for a, b in _strips(v @ turn[:, parts[block].start], left, right, width[block]):
+                        for x, y in _close(v, a, b, own, block, turn, parts, budget, least):
+                            np.add.at(count, x, weight[y])
+                            np.add.at(count, y, weight[x])
+                            p, q = forest(node[x], node[y])
+                            fa.append(p)
+                            fb.append(q)
+                some = np.flatnonzero(count)
+                fa, fb = forest(np.concatenate(fa), np.concatenate(fb))
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), key.take(pa.array(some)), pa.nulls(len(some), pa.int64()), pa.array(count[some])], ["node", "key", "peer", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(fa), pa.nulls(len(fa), pa.string()), pa.array(fb), pa.array(np.zeros(len(fa), np.int64))], ["node", "key", "peer", "n"])
+
+    found = met.mapInArrow(meet, "node long, key string, peer long, n long")
+    # A key's counts and its links are summed where they arise, before anything is written.
+    return found.groupBy("node", "key", "peer").agg(F.sum("n").alias("n"))
+
+
+def _strips(u: np.ndarray, left: np.ndarray, right: np.ndarray, width: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of left in order of one coordinate, some at a time, with the rows of right that lie within the width of any of them."""
+    left, right = left[np.argsort(u[left], kind="stable")], right[np.argsort(u[right], kind="stable")]
+    at = u[right]
+    for k in range(0, len(left), 512):
+        some = left[k : k + 512]
+        yield some, right[np.searchsorted(at, u[some[0]] - width, "left") : np.searchsorted(at, u[some[-1]] + width, "right")]
 
 
 def _close(v: np.ndarray, left: np.ndarray, right: np.ndarray, own: bool, block: int, turn: np.ndarray, parts: list[slice], budget: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
