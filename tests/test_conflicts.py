@@ -65,3 +65,16 @@ def test_pairs_are_made_only_when_asked_for(made):
     fresh = metrics.Metrics(made.metrics, made.members, made.sure, made.glossary, keep)
     metrics.link_counts(fresh.links).collect()
     assert "conflicts" not in vars(fresh) and "_found" not in vars(fresh)
+
+
+def test_query_of_conflicts_makes_no_pairs(made, monkeypatch):
+    from metrigraph.plans import estate_bank
+
+    fresh = metrics.Metrics(made.metrics, made.members, made.sure, made.glossary, keep)
+    monkeypatch.setattr(estate_bank, "_built", lambda spark, sf: (None, fresh))
+    got = estate_bank.queries()["metric_conflicts"](None, "").collect()
+    assert "conflicts" not in vars(fresh) and "_found" not in vars(fresh)
+    want = Counter(x for r in made.conflicts.collect() for x in (r["metric_id_a"], r["metric_id_b"]))
+    assert {r["metric_id"]: r["n_links"] for r in got} == want
+    labels = {r[0]: r[1] for r in ROWS}
+    assert all((x["class_id"] == y["class_id"]) == (labels[x["metric_id"]] == labels[y["metric_id"]]) for x in got for y in got)
