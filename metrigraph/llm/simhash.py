@@ -10,8 +10,9 @@ Which blocks meet:
   agree on at least two parts, so each pair of parts is a table of exact keys. Keys with very many
   fingerprints are split again by the pigeonhole over the remaining bits. Nothing is dropped.
 
-`near_duplicates` compares no fingerprints: texts that share a shingle of their prefixes (loss-free for the
-least similarity) form clusters; within one, exact Jaccard similarity decides, in blocks of bounded size.
+`near_duplicates` joins texts of close fingerprints to clusters by `link_close`, and to these, as fingerprints alone miss
+pairs, those that share a shingle of their prefixes (loss-free for the least similarity); within a cluster, exact Jaccard
+similarity decides, in blocks of bounded size.
 
 Defined results: null text is empty text; a text with fewer words than a shingle is one shingle; a text
 without words has fingerprint zero and links like any other. Repeated rows share a fingerprint and
@@ -47,6 +48,8 @@ BLOCK, TOGETHER = 8192, 64
 SET_ROWS = 1_500_000.0
 #: Shingles that a worker holds at once, and bytes of text a bucket of shingles.
 HELD, BUCKET_BYTES = 1_000_000, 8 << 20
+#: Bits in which fingerprints of near duplicates may differ to be joined by these.
+NEAR_BITS = 3
 #: Texts that a worker holds at once: their numbers fit 16 bits.
 TEXTS = 60_000
 #: Bits of a sketch at most.
@@ -246,20 +249,29 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _rows(df: DataFrame, shingle: int) -> DataFrame:
-    """(id, key, node, n, sketch) of every row of df (id, text); n: distinct shingles."""
+    """(id, key, node, n, fp, sketch) of every row of df (id, text); n: distinct shingles, fp: fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, bits = [], [], []
+            keys, sizes, fps, bits = [], [], [], []
             for text in batch["text"].cast(pa.large_binary()):
                 body = text.as_py() or b""
-                u = np.unique(shingle_hashes(body, shingle).astype(np.uint64))
+                hashes = shingle_hashes(body, shingle)
+                fps.append(fingerprint(hashes))
+                u = np.unique(hashes.astype(np.uint64))
                 keys.append(_key(body))
                 sizes.append(len(u))
                 bits.append(sketch(u).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array([_node(k) for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["id", "key", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array([_node(k) for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bits, pa.binary())], ["id", "key", "node", "n", "fp", "sketch"])
 
-    return df.mapInArrow(run, "id long, key binary, node long, n long, sketch binary")
+    return df.mapInArrow(run, "id long, key binary, node long, n long, fp long, sketch binary")
+
+
+def _close_texts(rows: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links that join all nodes of rows (node, fp) whose fingerprints are equal or within the radius."""
+    first = keep(rows.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = rows.join(first.select("fp", F.col("node").alias("u")), "fp").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    return link_close(first, radius).union(equal)
 
 
 def _sets(df: DataFrame, shingle: int, wanted) -> DataFrame:
@@ -625,7 +637,8 @@ def _bitmap(places: DataFrame) -> np.ndarray:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, key, component) of every row: groups of texts with Jaccard similarity >= least of their word shingles.
 
-    A text whose own shingles, that no other text holds, fill its prefix has no similar text. Every pair of similar
+    Texts of close fingerprints are joined first, by bit-sliced comparison. That finds most near copies but misses pairs, so
+    prefixes complete it: a text whose own shingles, that no other text holds, fill its prefix has no similar text, and every pair of similar
     texts shares a shingle of both prefixes, so it lies in one cluster of texts that such shingles join. Sketches, which lose no similar pair either, tell which texts of a cluster's tasks have a candidate
     there; only their sets travel to the tasks, where similarity is exact. No pair is ever a row.
     A component is named by a node of it.
@@ -638,7 +651,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = keep(_rows(texts, shingle))
     lets = _bitmap(_open(texts, buckets, shingle, least).select(F.col("node").bitwiseAND(BITS - 1).alias("p")))
     wanted = df.sparkSession.sparkContext.broadcast(lets)
-    clusters = components(_linked(texts, wanted, buckets, shingle, least), "u", "v").select("node", F.col("component").alias("cluster"))
+    links = _close_texts(rows.select("node", "fp"), NEAR_BITS).union(_linked(texts, wanted, buckets, shingle, least))
+    clusters = components(links, "u", "v").select("node", F.col("component").alias("cluster"))
     members = keep(rows.select("node", "n", "sketch").distinct().join(clusters, "node"))
     found = _candidates(_tasks(members, least), least)
     bitmap = _bitmap(found.select(F.col("node").bitwiseAND(BITS - 1).alias("p")))  # a false bit only computes a set too many
