@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrigraph.llm._graph import components, forest
-from metrigraph.llm._text import whole_groups
+from metrigraph.llm._text import release, whole_groups
 from metrigraph.storage import fresh, keep
 
 #: Fingerprints in one block of planes; queries that go through a block together.
@@ -314,10 +314,15 @@ def _shingled(batches: Iterator[pa.RecordBatch], shingle: int, wanted=None) -> I
             sets.append(np.unique(shingle_hashes(body, shingle).astype(np.uint64)))
             held += len(sets[-1])
             if held > HELD or len(nodes) == TEXTS:
-                yield np.array(nodes, np.int64), np.array(list(map(len, sets))), np.concatenate(sets)
+                out = [(np.array(nodes, np.int64), np.array(list(map(len, sets))), np.concatenate(sets))]
                 nodes, sets, held = [], [], 0
+                yield out.pop()  # nothing here holds what was yielded
+                release()
     if nodes:
-        yield np.array(nodes, np.int64), np.array(list(map(len, sets))), np.concatenate(sets)
+        out = [(np.array(nodes, np.int64), np.array(list(map(len, sets))), np.concatenate(sets))]
+        del nodes, sets
+        yield out.pop()
+    release()
 
 
 def _blobs(of: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
@@ -366,7 +371,10 @@ def _open(df: DataFrame, buckets: int, shingle: int, least: float) -> DataFrame:
             uid = task | number
             rows = [(b, uid, x, t, None, None, None) for b, x, t in _blobs((h % np.uint64(buckets)).astype(np.int64), buckets, (h >> np.uint64(32)).astype(np.uint32), owner)]
             rows.append((_aside(uid, buckets), uid, None, None, nodes.tobytes(), sizes.tobytes(), None))  # passes the buckets by
-            yield _rows_of(rows)
+            del nodes, sizes, sets, h, first, times, owner
+            sent = [_rows_of(rows)]
+            del rows
+            yield sent.pop()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket"):
@@ -385,8 +393,12 @@ def _open(df: DataFrame, buckets: int, shingle: int, least: float) -> DataFrame:
                     u, n = np.unique(owner[one & (owner != _SEVERAL)], return_counts=True)
                     if len(u):
                         rows.append((0, uid, u.tobytes(), n.astype(np.uint32).tobytes(), None, None, None))
-                del h, at
-                yield _rows_of(rows)
+                del h, at, times, alone, part
+                sent = [_rows_of(rows)]
+                del rows
+                yield sent.pop()
+            del table, of
+            release()
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "uid"):
@@ -432,7 +444,10 @@ def _linked(df: DataFrame, wanted, buckets: int, shingle: int, least: float) ->
             uid = task | number
             rows = [(b, uid, x, c, None, None, None) for b, x, c in _blobs((h % np.uint64(buckets)).astype(np.int64), buckets, h, times.astype(np.uint32))]
             rows.append((_aside(uid, buckets), uid, None, None, nodes.tobytes(), sizes.tobytes(), sets.tobytes()))
-            yield _rows_of(rows)
+            del nodes, sizes, sets, h, times
+            sent = [_rows_of(rows)]
+            del rows
+            yield sent.pop()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket"):
@@ -446,7 +461,12 @@ def _linked(df: DataFrame, wanted, buckets: int, shingle: int, least: float) ->
                 c = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in part["c"]])
                 _, at = np.unique(np.concatenate(h), return_inverse=True)
                 holders = np.bincount(at, c)[at].astype(np.uint32)
-                yield _rows_of([(0, uid, x.tobytes(), n.tobytes(), None, None, None) for uid, x, n in zip(part["uid"].to_pylist(), h, np.split(holders, np.cumsum([len(x) for x in h])[:-1]), strict=True)])
+                del at, c
+                sent = [_rows_of([(0, uid, x.tobytes(), n.tobytes(), None, None, None) for uid, x, n in zip(part["uid"].to_pylist(), h, np.split(holders, np.cumsum([len(x) for x in h])[:-1]), strict=True)])]
+                del h, holders, part
+                yield sent.pop()
+            del table, of
+            release()
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "uid"):
@@ -469,7 +489,12 @@ def _linked(df: DataFrame, wanted, buckets: int, shingle: int, least: float) ->
                 rows = [(b, 0, x, y, None, None, None) for b, x, y in _blobs((t % np.uint64(buckets)).astype(np.int64), buckets, t, low)]
                 if len(u):  # links go to buckets of their own, spread by their number
                     rows.append((buckets + int(u[0]) % buckets, 0, u.tobytes(), v.tobytes(), None, None, None))
-                yield _rows_of(rows)
+                del part, own, known, h, n, sets, owner, holders, order, place, some, t, low
+                sent = [_rows_of(rows)]
+                del rows
+                yield sent.pop()
+            del table, of
+            release()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket"):
