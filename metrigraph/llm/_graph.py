@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metrigraph.llm._text import release
 from metrigraph.storage import drop, keep
 
+#: Links that one task joins at once (16 bytes each): that many or fewer need no rounds.
+AT_ONCE = 1 << 19
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of links a-b: each node but the smallest of its component, with that smallest one."""
@@ -29,15 +36,62 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[label[out]]
 
 
+def _forests(edges: DataFrame, most: int, own: bool = False) -> DataFrame:
+    """Links (u, v) that join the same nodes: of each `most` links of a task, each node with the smallest that they reach.
+
+    own: the smallest nodes too, each with itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, held = [], [], 0
+
+        def joined() -> pa.RecordBatch:
+            u, v = forest(np.concatenate(us), np.concatenate(vs))
+            low = np.unique(v) if own else v[:0]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((u, low))), pa.array(np.concatenate((v, low)))], ["u", "v"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                if held and held + part.num_rows > most:
+                    yield joined()
+                    us, vs, held = [], [], 0
+                us.append(part["u"].to_numpy())
+                vs.append(part["v"].to_numpy())
+                held += part.num_rows
+        if held:
+            yield joined()
+        us = vs = None
+        release()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest long id reachable from each node that has an edge to another.
 
-    Alternating large-star and small-star steps, with the edge list cut to the shared folder after each
+    Up to AT_ONCE links are joined in one task. Of more, each task first joins its own, and if still more are left,
+    alternating large-star and small-star steps follow, with the edge list cut to the shared folder after each
     round; only two sums come to the driver. Minima are aggregated map-side, and the joins are plain
-    equi-joins that AQE can split, so a node with very many edges burdens no single task.
+    equi-joins that AQE can split, so a node with very many edges burdens no single task. A round is some six
+    exchanges, whose tasks and their metrics the driver keeps track of, whatever the number of links.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = keep(e)
+    e = keep(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v"))
+    n = e.count()
+    if n > AT_ONCE:
+        e, old = keep(_forests(e, AT_ONCE).distinct()), e
+        drop(old)
+        n = e.count()
+    if n <= AT_ONCE:
+        out = keep(_forests(e.coalesce(1), AT_ONCE, own=True).toDF("node", "component"))
+        drop(e)
+        return out
+    e = _rounds(e)
+    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select("v", F.col("v").alias("component")).distinct())
+
+
+def _rounds(e: DataFrame) -> DataFrame:
+    """Links (u, v) of each node but the smallest of its component with that smallest one; e: (u, v) from keep(), u > v."""
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -49,6 +103,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         drop(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
-            break
+            return e
         before = tuple(now)
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select("v", F.col("v").alias("component")).distinct())
